@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -18,35 +18,28 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * rows repeating both id and text tie: exactly one of them stays;
     * an empty table gives an empty result; other columns, whatever their names, are not read.
 
-    Plan: the hashes alone are grouped first (partial sums, so a hot text is one row per map task).
-    Texts of rows meet the text of their group's representative under (hash, salt): a group that holds
-    over 1/HOT_SHARE of all rows is spread over as many salts as it has such shares. Rows whose bytes
-    differ from the representative's in spite of the same hash form groups of their own.
+    Plan: the hashes alone are grouped first (partial sums, so a hot text is one row per map task). Then
+    each text travels once, to its hash and a salt: a group that holds over 1/HOT_SHARE of all rows is
+    spread over as many salts as it has such shares. There its bytes are compared with those of the largest
+    id, and rows whose bytes differ in spite of equal hashes are set apart. Groups are one MD5, one SHA-256
+    and one outcome of that comparison, so the parts of a spread group meet again by both digests.
     """
-    spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), common.ascii_lower(F.col(text_col)).alias("norm"))
     base = base.withColumn("h", F.unhex(F.md5("norm")))
-    hashes = common.stage(base.groupBy("h").agg(F.max("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "exact-hashes")
-    total = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    share = max(1, total // common.HOT_SHARE)
-    twin = hashes.filter("n > 1").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / share)).cast("int"))
-    hot = twin.filter("parts > 1").select(F.col("h").alias("hot_h"), F.col("parts").alias("hot_parts"))
-    pick = lambda uid, parts: F.pmod(F.xxhash64(uid), F.coalesce(parts, F.lit(1))).cast("int")
-
-    salted = base.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
-    salted = salted.select("doc_id", "norm", "h", pick(F.col("doc_id"), F.col("hot_parts")).alias("salt"))
-    at = twin.select(F.col("h").alias("rep_h"), "rep", "parts", pick(F.col("rep"), F.col("parts")).alias("rep_salt"))
-    first = salted.join(at, (F.col("h") == F.col("rep_h")) & (F.col("salt") == F.col("rep_salt")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    first = first.groupBy("h", "salt", "parts").agg(F.max("norm").alias("rep_norm"))
-    first = first.select(F.col("h").alias("rep_h"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("rep_salt"), "rep_norm")
-    met = salted.join(first, (F.col("h") == F.col("rep_h")) & (F.col("salt") == F.col("rep_salt")), "left")
-    same = F.col("rep_norm").isNull() | (F.col("norm") == F.col("rep_norm"))
-    sha = F.sha2("norm", 256)
-    rows = common.stage(met.select("doc_id", "h", sha.alias("text_sha256"), F.when(same, F.lit("")).otherwise(sha).alias("apart")), "exact-rows")
-
-    tied = rows.groupBy("h", "apart", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.max("text_sha256").alias("text_sha256"))
-    stats = common.stage(rows.groupBy("h", "apart").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
-    out = common.lookup(common.stage(tied, "exact-tied"), stats, ["h", "apart"], "group_size", total)
+    hashes = common.stage(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-hashes")
+    total = df.count()
+    hot, _ = common.split_hot(hashes, "n", total)
+    parts = F.ceil(F.col("n") * common.HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    salted = base.join(F.broadcast(hot.select("h", parts.alias("parts"))), "h", "left")
+    salted = salted.select("doc_id", "norm", "h", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    of_largest = F.first("norm").over(Window.partitionBy("h", "salt").orderBy(F.col("doc_id").desc_nulls_last()))
+    met = salted.withColumn("apart", F.col("norm") != of_largest)
+    rows = common.stage(met.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), "apart"), "exact-rows")
+
+    key = ["h", "text_sha256", "apart"]
+    tied = rows.groupBy(*key, "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    stats = common.stage(rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    out = common.lookup(common.stage(tied, "exact-tied"), stats, key, "group_size", total)
     copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     out = out.select("doc_id", "keep_id", "group_size", "text_sha256", copy)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
@@ -59,8 +52,8 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Ids should be unique; rows repeating id and text are reduced to one, and rows repeating an id
     with different texts are each judged by their own text. Rows without an id keep one row per text.
     """
-    sha = F.sha2(common.ascii_lower(F.col(text_col)), 256)
     verdict = exact_groups(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    row = df.withColumn("__key", F.col(id_col).cast("long")).withColumn("__mine", sha)
-    met = row.join(verdict, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__sha")), "left_semi")
-    return met.dropDuplicates(["__key", "__mine"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    row = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__sha", F.sha2(common.ascii_lower(F.col(text_col)), 256))
+    named = row.join(verdict, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
+    nameless = row.filter("__id IS NULL").join(verdict.filter("__id IS NULL").drop("__id"), "__sha", "left_semi").dropDuplicates(["__sha"])
+    return named.unionByName(nameless).select(*[F.col(f"`{c}`") for c in df.columns])
