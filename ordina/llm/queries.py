@@ -5,13 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import common, exact_dedup, minhash, packing, quality_rules, substring
+from . import classifier, common, exact_dedup, html_extract, minhash, mixing, packing, quality_rules, substring, token_counts
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: The mixture of op4 and of the pipeline: the crawl and curated sources, languages within them, sources within those.
+LEVELS = {"domain": F.when(F.col("source") == "src0", "crawl").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+WEIGHTS = {("crawl",): 0.4, ("curated",): 0.6} | {(d, *x): w for d in ("crawl", "curated") for *x, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"), LEVELS, WEIGHTS)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(common.table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    return classifier.score(documents, classifier.train(documents, common.table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"))
 
@@ -34,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op6_minhash, op7_quality_rules, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_mixing, op5_html_extraction, op6_minhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
