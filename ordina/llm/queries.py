@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, exact_dedup, html_extract, minhash, mixing, packing, quality_rules, substring, token_counts
+from . import classifier, common, exact_dedup, html_extract, licenses, minhash, mixing, packing, quality_rules, substring, token_counts
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -34,6 +34,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(documents, classifier.train(documents, common.table(spark, sf_dir, "labels")))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000), F.concat(F.col("doc_id"), F.lit(".txt")))
+    found = licenses.scan(documents.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), *found.columns)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"))
 
@@ -56,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_mixing, op5_html_extraction, op6_minhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_exact_dedup, op4_mixing, op5_html_extraction, op6_minhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
