@@ -25,7 +25,7 @@ TREES = 24
 BRANCH = 0.75
 #: Documents of a node, or of a block of a larger group, that one task compares with each other.
 NODE = 200
-DEPTH = 6
+DEPTH = 4
 #: Shingles of a block that one task holds.
 BLOCK_SHINGLES = 400_000
 #: Share of agreeing one-byte tokens from which a pair is confirmed on full sets: 4.5 standard deviations below 0.8.
