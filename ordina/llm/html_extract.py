@@ -19,6 +19,8 @@ FIT_CHARS = 60_000
 WORD = 1.0
 LEAST = -0.02
 SCALE = 2.0
+#: Scores of tags that no labelled page has outside of elements that are left out anyway.
+PRIOR = {"a": -1.5, "/a": -1.5, "option": -3.0, "img": -0.5, "button": -3.0}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -100,13 +102,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def counts(page: str) -> tuple[Counter, Counter]:
-    """Tags and words (as "") inside and outside of the article element, a labelled page's own mark."""
+    """Tags and words (as "") inside and outside of the article element, a labelled page's own mark.
+
+    Elements that cannot be text are left out of both, as they are never scored.
+    """
     inside, outside, depth = Counter(), Counter(), 0
     for tag, text, apart in tokens(page):
         if tag == "article":
             depth += 1
-        into = inside if depth and not apart else outside
-        into[tag] += len(text.split()) if not tag else 1
+        if not apart:
+            into = inside if depth else outside
+            into[tag] += len(text.split()) if not tag else 1
         if tag == "/article":
             depth = max(0, depth - 1)
     return inside, outside
@@ -122,39 +128,40 @@ def fit(pages: Iterable[str]) -> dict[str, float]:
     kinds = {k for k in (*inside, *outside) if k}
     a, b, n = sum(inside.values()), sum(outside.values()), len(kinds) + 1
     odds = lambda k: math.log((inside[k] + 1) / (a + n)) - math.log((outside[k] + 1) / (b + n))
-    return {k: min(LEAST, SCALE * (odds(k) - odds(""))) if inside[k] < outside[k] else LEAST for k in kinds}
+    return PRIOR | {k: min(LEAST, SCALE * (odds(k) - odds(""))) if inside[k] < outside[k] else LEAST for k in kinds}
 
 
 def extract(page: str | None, weights: Mapping[str, float]) -> str:
     """The main text: blocks of the best run, joined by an empty line."""
-    blocks: list[tuple[float, float, str]] = []  # score of the tags before, score of the words, text
+    blocks: list[tuple[float, float, str]] = []  # score of block tags before, score of words and tags in it, text
     words: list[str] = []
-    toll = 0.0
+    before = inner = 0.0
+
+    def close() -> None:
+        nonlocal before, inner
+        if done := " ".join(html.unescape("".join(words)).split()):
+            blocks.append((before, inner + WORD * len(done.split()), done))
+            before = inner = 0.0
+        words.clear()
+
     for tag, text, apart in tokens(page or ""):
-        if apart:
-            if not tag or tag.lstrip("/") not in BLOCKS:
-                words.append(" ")
-                continue
-        elif not tag:
-            words.append(text)
-            continue
         name = tag.lstrip("/")
-        toll += weights.get(tag, LEAST * 5)
+        if not tag:
+            words.append(" " if apart else text)
+            continue
         if name in BLOCKS:
-            if done := " ".join(html.unescape("".join(words)).split()):
-                blocks.append((toll, WORD * len(done.split()), done))
-                toll = 0.0
-            words = []
-        elif name in ("br", "img", "wbr", "input"):
+            close()
+        elif name in ("br", "img", "wbr", "input") or apart:
             words.append(" ")
-    if done := " ".join(html.unescape("".join(words)).split()):
-        blocks.append((toll, WORD * len(done.split()), done))
+        if not apart:
+            score = weights.get(tag, LEAST * 5)
+            before, inner = (before + score, inner) if name in BLOCKS else (before, inner + score)
+    close()
     best, top, first, run = (0, 0), 0.0, 0, 0.0
     for i, (before, score, _) in enumerate(blocks):
-        if run + before <= 0:
+        run += before
+        if run <= 0:
             first, run = i, 0.0
-        else:
-            run += before
         run += score
         if run > top:
             best, top = (first, i + 1), run
