@@ -20,7 +20,7 @@ WINDOW = 35
 #: Words in the m-grams among which a window's minimiser is chosen.
 GRAM = 8
 #: Distinct strings of one minimiser that one task sorts; buckets beyond it are counted window by window, anywhere.
-BUCKET_STRINGS = 4096
+BUCKET_STRINGS = 512
 
 RUNS = "doc_id long, th long, m long, c long, start int, n_win int"
 STRINGS = "m long, c long, n long, doc_id long, th long, start int, off int, w1 long, w2 long, packed binary"
