@@ -63,9 +63,12 @@ def budgets(leaves: DataFrame, total: int, levels: Sequence[str], weights: Mappi
     return leaves.join(up.drop("__root"), levels)
 
 
-def _rows(df: DataFrame, levels: Mapping[str, Column], id_col: str, tokens: Column) -> DataFrame:
-    named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
-    return df.select(*named, F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
+def _named(levels: Mapping[str, str]) -> list[Column]:
+    return [F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
+
+
+def _rows(df: DataFrame, levels: Mapping[str, str], id_col: str, tokens: Column) -> DataFrame:
+    return df.select(*_named(levels), F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
 
 
 def _order(seed: int) -> Column:
@@ -112,9 +115,10 @@ def _selected(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("epochs", F.col("full_epochs")).withColumn("last_tokens", F.coalesce(last, F.lit(0)).cast("long"))
 
 
-def mix(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], float], share: float = 0.8, max_epochs: int = 2, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+def mix(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ...], float], share: float = 0.8, max_epochs: int = 2, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, the levels, tokens, leaf_budget, epochs, last_tokens.
 
+    ``levels`` are SQL expressions by name, from the root down; ``weights`` are by path of their values.
     ``share`` of all tokens (``tokens``, an estimate from the text where it isn't given) is budgeted among the
     leaves of the tree ``levels`` (see ``budgets``), no leaf more than ``max_epochs`` times what it has. A leaf
     gives each row ``epochs`` whole times and, from one more seeded order of its rows, the prefix of tokens
@@ -132,7 +136,7 @@ def mix(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str,
     return met.select("doc_id", *names, "tokens", F.col("budget").alias("leaf_budget"), "epochs", "last_tokens")
 
 
-def take(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], float], share: float = 0.8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ...], float], share: float = 0.8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that a mixture of at most one epoch takes, whole; columns as in ``df``.
 
     The row at a leaf's cut is taken whole. Texts are not shuffled: the plan, one row per leaf, is broadcast
@@ -142,7 +146,7 @@ def take(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str
     tokens = estimated_tokens(F.col(text_col))
     rows = common.stage(_rows(df, levels, id_col, tokens), "mix-rows")
     leaves = plan(rows, names, weights, share, 1, seed)
-    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()], F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_named(levels), F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
     few = leaves.count() <= BROADCAST_LEAVES
     met = wide.join(F.broadcast(leaves), names) if few else common.lookup(wide, leaves, names, "n", rows.count())
     return _selected(met, seed).filter("epochs > 0 OR last_tokens > 0").select("row.*")

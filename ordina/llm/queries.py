@@ -13,7 +13,7 @@ _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 #: The mixture of op4 and of the pipeline: the crawl and curated sources, languages within them, sources within those.
-LEVELS = {"domain": F.when(F.col("source") == "src0", "crawl").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+LEVELS = {"domain": "CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END", "lang": "lang", "source": "source"}
 WEIGHTS = {("crawl",): 0.4, ("curated",): 0.6} | {(d, *x): w for d in ("crawl", "curated") for *x, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
 
 

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from ordina.llm import classifier, common, components, exact_dedup, html_extract, licenses, minhash, mixing, packing, quality_rules, substring, token_counts, tokenizing
 
@@ -293,7 +292,7 @@ def test_token_counts(docs, rows):
 
 
 def test_mixing(docs, odd, spark):
-    levels = {"domain": F.when(F.col("source") == "src0", "crawl").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+    levels = {"domain": "CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END", "lang": "lang", "source": "source"}
     weights = {("crawl",): 0.2, ("curated", "en"): 3.0}
     made = mixing.mix(docs, levels, weights, share=0.6).collect()
     leaves = defaultdict(list)
@@ -424,7 +423,7 @@ def test_classifier(spark, odd):
 
 def test_empty_tables(docs):
     none = docs.limit(0)
-    levels = {"lang": F.col("lang")}
+    levels = {"lang": "lang"}
     for made in (
         exact_dedup.exact_groups(none), minhash.near_groups(none), substring.remove_repeats(none), quality_rules.judge(none), packing.pack(none), token_counts.token_counts(none),
         mixing.mix(none, levels, {}), exact_dedup.drop_exact(none), minhash.drop_near(none), quality_rules.keep_good(none), mixing.take(none, levels, {}),
