@@ -168,7 +168,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", columns: tuple[str, str, str, str, str] = ("doc_id", "text", "lang", "source", "n_chars")) -> Model:
     """Fits on at most FIT_LABELLED labelled and FIT_UNLABELLED unlabelled rows, chosen by hash of the id.
 
-    Features, not texts, come to the driver: at most (FIT_LABELLED + FIT_UNLABELLED) times 90 numbers.
+    Of rows that share an id, one is taken. Features, not texts, come to the driver: at most (FIT_LABELLED + FIT_UNLABELLED) times 90 numbers.
     """
     seeded = F.xxhash64(F.lit(5), F.col("doc_id"))
     named = labels.filter(F.col(label_col).isin(0, 1) & F.col(columns[0]).isNotNull()).select(F.col(columns[0]).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
@@ -176,7 +176,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", columns:
     ids = df.select(F.col(columns[0]).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").join(named.select("doc_id"), "doc_id", "left_anti").distinct()
     more = ids.orderBy(seeded, "doc_id").limit(FIT_UNLABELLED).select("doc_id", F.lit(None).cast("double").alias("y"))
     chosen = F.broadcast(some.unionByName(more))
-    texts = _narrow(df, columns).join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "source", "n_chars", "text")
+    texts = _narrow(df, columns).join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "source", "n_chars", "text").dropDuplicates(["doc_id"])
     rows = texts.mapInArrow(_features, f"doc_id long, {_FEATURES}").join(chosen, "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     array = lambda name, keep, width: np.array([r[name] for r in keep], float).reshape(-1, width)

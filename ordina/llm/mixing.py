@@ -44,11 +44,12 @@ def budgets(leaves: DataFrame, total: int, levels: Sequence[str], weights: Mappi
     in closed form: children sorted by cap over weight, the full ones are a prefix of that order.
     """
     levels = list(levels)
-    up = leaves.agg(F.least(F.lit(total), F.coalesce(F.sum("cap"), F.lit(0))).alias("budget")).select("budget", F.lit(0).alias("__root"))
+    whole = min(total, leaves.agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0])
+    up = None
     for depth in range(1, len(levels) + 1):
-        path, above = levels[:depth], ["__root", *levels[: depth - 1]]
-        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("__root", F.lit(0)).withColumn("w", _weight(path, weights))
-        met = nodes.join(up.withColumnRenamed("budget", "given"), above)
+        path, above = levels[:depth], levels[: depth - 1]
+        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(path, weights))
+        met = nodes.withColumn("given", F.lit(whole)) if up is None else nodes.join(up.withColumnRenamed("budget", "given"), above)
         order = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), *[F.col(c) for c in path])
         family = Window.partitionBy(*above)
         met = met.withColumn("rate", (F.col("given") - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))) / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
@@ -58,9 +59,9 @@ def budgets(leaves: DataFrame, total: int, levels: Sequence[str], weights: Mappi
         met = met.withColumn("low", F.floor(F.col("exact") + F.lit(1e-9)).cast("long"))
         left = F.least(F.col("given"), F.sum("cap").over(family)) - F.sum("low").over(family)
         rank = F.row_number().over(family.orderBy((F.col("cap") > F.col("low")).desc(), (F.col("exact") - F.col("low")).desc(), *[F.col(c) for c in path]))
-        up = met.withColumn("left", left).withColumn("rank", rank).select("__root", *path, (F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).alias("budget"))
+        up = met.withColumn("left", left).withColumn("rank", rank).select(*path, (F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).alias("budget"))
         up = common.stage(up, "mix-level")
-    return leaves.join(up.drop("__root"), levels)
+    return leaves.join(up, levels)
 
 
 def _named(levels: Mapping[str, str]) -> list[Column]:

@@ -105,10 +105,11 @@ def thresholds(rows: DataFrame) -> DataFrame:
         return level.select(*keys, F.col("n").alias(f"n_{tag}"), *out)
 
     by_lang = limits(own.groupBy("lang").agg(F.sum("n").alias("n"), *merged), ["lang"], "lang").withColumnRenamed("lang", "of_lang")
-    overall = limits(own.agg(F.sum("n").alias("n"), *merged), [], "all")
+    overall = limits(own.agg(F.sum("n").alias("n"), *merged), [], "all").first()
     each = limits(own, ["lang", "source", "group_rows"], "own")
-    each = each.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(overall))
-    pick = [F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{r}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{r}_lang")).otherwise(F.coalesce(f"{r}_all", F.lit(RATIOS[r][2]))).alias(f"{r}_max") for r in RATIOS]
+    each = each.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    last = {r: RATIOS[r][2] if overall[f"{r}_all"] is None else overall[f"{r}_all"] for r in RATIOS}
+    pick = [F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{r}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{r}_lang")).otherwise(F.lit(last[r])).alias(f"{r}_max") for r in RATIOS]
     return each.select("lang", "source", "group_rows", *pick)
 
 
