@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +25,29 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
     every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     low = lo + F.col("bin") * F.lit(width)
     return every.join(counts, "bin", "left").select("bin", low.alias("low"), (low + width).alias("high"), F.coalesce("n", F.lit(0)).alias("count"))
+
+
+def kde(df: DataFrame, name: str, points: int = 100, bins: int = 1000) -> list[tuple[float, float]]:
+    """(x, density) at evenly spaced points: a Gaussian kernel of Scott's width over ``bins`` equal bins.
+
+    Only the bins' counts come to the driver, whatever the number of rows.
+    """
+    rows = histogram(df, name, bins).collect()
+    total = sum(r["count"] for r in rows)
+    if not total:
+        return []
+    middle = [(r.low + r.high) / 2 for r in rows]
+    mean = sum(m * r["count"] for m, r in zip(middle, rows, strict=True)) / total
+    spread = math.sqrt(sum((m - mean) ** 2 * r["count"] for m, r in zip(middle, rows, strict=True)) / total)
+    width = (spread or 1.0) * total**-0.2
+    lo, hi = min(r.low for r in rows) - 3 * width, max(r.high for r in rows) + 3 * width
+    at = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    scale = 1 / (total * width * math.sqrt(2 * math.pi))
+    return [(x, scale * sum(r["count"] * math.exp(-0.5 * ((x - m) / width) ** 2) for m, r in zip(middle, rows, strict=True))) for x in at]
+
+
+def series(df: DataFrame, names: Sequence[str], order: Sequence, most: int) -> DataFrame:
+    """At most about ``most`` rows of the columns in row order: all of them, or a seeded sample for drawing."""
+    total = df.count()
+    rows = df if total <= most else df.sample(most / total, seed=7)
+    return rows.orderBy(*order).select(*map(quoted, names))

@@ -151,6 +151,13 @@ class Table:
             out = out._paste(c.to_table())
         return out
 
+    @staticmethod
+    def from_schema_and_columns(schema: Schema, columns: Sequence[Column], spark: SparkSession | None = None) -> Table:
+        """Columns side by side under the names of a schema, whose kinds they have to have."""
+        if [f.kind for f in schema.fields] != [c.kind for c in columns]:
+            raise TypeError("the columns are not of the schema's kinds")
+        return Table.from_columns([c.rename(f.name) for f, c in zip(schema.fields, columns, strict=True)], spark)
+
     @staticmethod
     def int_sequence(name: str, start: int, stop: int, step: int = 1, spark: SparkSession | None = None) -> Table:
         df = (spark or session()).range(start, stop, step).select(F.col("id").alias(name))
@@ -610,6 +617,16 @@ class Table:
         stats.numeric(self.kinds, self._check(name))
         return Table(charts.histogram(self._df, name, bins).withColumn("__bin", F.col("bin")), ["bin", "low", "high", "count"], (Key("__bin"),))
 
+    def kde(self, name: str, points: int = 100) -> Table:
+        """x, density of a numeric column."""
+        stats.numeric(self.kinds, self._check(name))
+        made = charts.kde(self._df, name, points)
+        return Table.from_lists({"x": (REAL, [x for x, _ in made]), "density": (REAL, [y for _, y in made])}, self._df.sparkSession)
+
+    def series(self, names: Sequence[str], most: int = 10_000) -> list[tuple]:
+        """Rows of the columns for a line, scatter or area chart: all, or a sample of about ``most``."""
+        return [tuple(r) for r in charts.series(self._df, [self._check(n) for n in names], sorts(self._order), most).collect()]
+
     # Learning.
 
     def one_hot(self, name: str) -> Table:
@@ -695,6 +712,15 @@ class Column:
     def from_list(name: str, kind: str, values: Sequence[Any], spark: SparkSession | None = None) -> Column:
         return Table.from_lists({name: (kind, values)}, spark).column(name)
 
+    @staticmethod
+    def from_numpy(name: str, values: Any, spark: SparkSession | None = None) -> Column:
+        """Reals of an array; NaN becomes null."""
+        return Column.from_list(name, REAL, [None if x != x else float(x) for x in values], spark)
+
+    def to_numpy(self):
+        """Values as reals, null as NaN."""
+        return self.to_table().to_numpy()[:, 0]
+
     @staticmethod
     def index(length: int, spark: SparkSession | None = None) -> Column:
         return Table.int_sequence("index", 0, length, spark=spark).column("index")
@@ -790,6 +816,27 @@ class Column:
     def describe(self) -> Table:
         return self._described([(n, None) for n in ("mean", "std dev", "min", "max")])
 
+    def min_value(self) -> Any:
+        return self.value("min")
+
+    def max_value(self) -> Any:
+        return self.value("max")
+
+    def mean_value(self) -> Any:
+        return self.value("mean")
+
+    def median_value(self) -> Any:
+        return self.value("median")
+
+    def std_value(self) -> Any:
+        return self.value("std dev")
+
+    def var_value(self) -> Any:
+        return self.value("variance")
+
+    def sum_value(self) -> Any:
+        return self.value("sum")
+
     def correlation(self, other: Column) -> float:
         """Pearson's coefficient over rows where both are valid."""
         both = Table.from_columns([self.rename("x"), other.rename("y")]) if other.table._df is not self.table._df else Table(self.table._df.select(self.expr.alias("x"), other.expr.alias("y"), *self.table._hidden()), ["x", "y"], self.table._order)
@@ -827,3 +874,22 @@ class Column:
             return f(x)
 
         return Column(self.table, name, mapped(self.expr))
+
+
+class ColumnBuilder:
+    """Collects values of one kind, None among them, into a column."""
+
+    def __init__(self, name: str, kind: str):
+        self.name, self.kind, self.values = name, kind, []
+        spark_type(kind)
+
+    def append(self, value: Any) -> ColumnBuilder:
+        self.values.append(value)
+        return self
+
+    def append_many(self, values: Sequence[Any]) -> ColumnBuilder:
+        self.values.extend(values)
+        return self
+
+    def finish(self, spark: SparkSession | None = None) -> Column:
+        return Column.from_list(self.name, self.kind, self.values, spark)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from ordina import ASCENDING, DESCENDING, INT, NULLS_AFTER, NULLS_BEFORE, REAL, TEXT, TIME, Aggregate, Column, Field, Schema, Table
+from ordina import ASCENDING, DESCENDING, INT, NULLS_AFTER, NULLS_BEFORE, REAL, TEXT, TIME, Aggregate, Column, ColumnBuilder, Field, Schema, Table
 from ordina.functions.expr import ExpressionError, build_predicate, to_json
 from ordina.operators.learn import LinearRegression, LogisticRegression
 
@@ -292,3 +292,18 @@ def test_learning(spark):
     assert classes.confusion_matrix("y", "y").to_list() == [(0, 0, 2), (1, 1, 2)]
     assert Table.from_lists({"v": (REAL, [0, 1, 2, 10])}, spark).histogram("v", 5).to_columns()["count"] == [2, 1, 0, 0, 1]
     assert Column.from_list("x", INT, [1, N], spark).map("y", INT, lambda x: -1 if x is None else x * 2).to_list() == [2, -1]
+
+
+def test_builders_and_charts(spark):
+    c = ColumnBuilder("x", INT).append(1).append_many([None, 3]).finish(spark)
+    assert c.to_list() == [1, N, 3] and (c.min_value(), c.max_value(), c.sum_value(), c.mean_value()) == (1, 3, 4, 2)
+    assert Table.from_schema_and_columns(Schema.from_fields([Field("y", INT)]), [c]).to_columns() == {"y": [1, N, 3]}
+    with pytest.raises(TypeError):
+        Table.from_schema_and_columns(Schema.from_fields([Field("y", TEXT)]), [c])
+    assert Column.from_numpy("v", [1.5, math.nan], spark).to_list() == [1.5, N]
+    assert math.isnan(c.to_numpy()[1])
+    t = Table.from_lists({"v": (REAL, [float(i % 10) for i in range(200)])}, spark)
+    made = t.kde("v", 200).to_columns()
+    step = made["x"][1] - made["x"][0]
+    assert sum(made["density"]) * step == pytest.approx(1, abs=0.01)
+    assert len(t.series(["v"])) == 200 and len(t.series(["v"], 50)) < 120
