@@ -233,11 +233,11 @@ def describe_na(read):
 
 
 @query(f"""SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0
-    ELSE v0 + (v1 - v0) * (i - p0) / (p1 - p0) END, 4) AS value FROM (
+    ELSE v0 + (v1 - v0) * (i - p0) / (p1 - p0) END, 9) AS value FROM (
     SELECT event_id, value, i, last_value(value IGNORE NULLS) OVER up AS v0, first_value(value IGNORE NULLS) OVER down AS v1,
         last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER up AS p0, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER down AS p1
     FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM {_HOLES})
-    WINDOW up AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+    WINDOW up AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", 9)
 def interpolate_linear(read):
     return _holes(read("events")).sort("event_id").interpolate(["value"]).columns(["event_id", "value"])
 
@@ -365,11 +365,11 @@ def rolling_sum(read):
     return read("events").sort("ts").rolling("ts", HOUR, "value", A.SUM)
 
 
-@query(f"""SELECT ts, round(min(value) OVER w, 4) AS value_min, round(max(value) OVER w, 4) AS value_max, round(avg(value) OVER w, 4) AS value_mean,
-    (count(*) OVER w)::DOUBLE AS value_length, round(quantile_cont(value, 0.5) OVER w, 4) AS value_median,
-    round(first_value(value) OVER w, 4) AS value_first, round(last_value(value) OVER w, 4) AS value_last,
-    CASE WHEN count(*) OVER w > 1 THEN round(stddev_pop(value) OVER w, 4) END AS "value_std dev"
-    FROM events WINDOW w AS {_TRAILING}""")
+@query(f"""SELECT ts, round(min(value) OVER w, 9) AS value_min, round(max(value) OVER w, 9) AS value_max, round(avg(value) OVER w, 9) AS value_mean,
+    (count(*) OVER w)::DOUBLE AS value_length, round(quantile_cont(value, 0.5) OVER w, 9) AS value_median,
+    round(first_value(value) OVER w, 9) AS value_first, round(last_value(value) OVER w, 9) AS value_last,
+    CASE WHEN count(*) OVER w > 1 THEN round(stddev_pop(value) OVER w, 9) END AS "value_std dev"
+    FROM events WINDOW w AS {_TRAILING}""", 9)
 def rolling_all_functions(read):
     return read("events").sort("ts").rolling_multiple("ts", HOUR, [("value", [A.MINIMUM, A.MAXIMUM, A.MEAN, A.LENGTH, A.MEDIAN, A.FIRST, A.LAST, A.STD])])
 
