@@ -155,7 +155,7 @@ def frame(cells: DataFrame, header: str | Sequence[str] = "read", types: Sequenc
     first, rest = (seen[0] if seen else [], seen[1:]) if header == "read" else (None, seen)
     names = unique_names(header_names(header, first, width))
     kinds = [types[i] if i < len(types) else column_kind([r[i] if i < len(r) else "" for r in rest]) for i in range(width)]
-    rows = cells.filter(F.col(RID) > 0) if header == "read" else cells
+    rows = cells.filter(F.col(RID) > 0).withColumn(RID, F.col(RID) - 1) if header == "read" else cells
     return rows.select(RID, *[typed(F.get("cells", F.lit(i)), k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]), names
 
 

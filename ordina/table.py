@@ -49,10 +49,11 @@ class Table:
     """Columns of equal length in a fixed order of rows. Every method gives a new table and runs no job
     unless its documentation says that it has to look at the data."""
 
-    def __init__(self, df: DataFrame, names: Sequence[str], order: Sequence[Key] = ROW_ORDER):
+    def __init__(self, df: DataFrame, names: Sequence[str], order: Sequence[Key] = ROW_ORDER, numbered: bool = False):
         if len(set(names)) != len(names):
             raise ValueError("column names have to differ")
         self._df, self._names, self._order = df, tuple(names), tuple(order)
+        self._is_numbered = numbered  # row ids are 0, 1, 2 ... without gaps
 
     # Sources.
 
@@ -73,16 +74,16 @@ class Table:
         df = (spark or session()).read.parquet(path)
         names = df.columns
         rows = assign(df)
-        return Table(rows.select(*_widened(rows.select(*map(quoted, names))), RID), names)
+        return Table(rows.select(*_widened(rows.select(*map(quoted, names))), RID), names, numbered=True)
 
     @staticmethod
     def read_csv(path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None) -> Table:
         """One CSV file; reads it to deduce types (see ``sources.csv``)."""
-        return Table(*csv.read_file(spark or session(), path, header, types))
+        return Table(*csv.read_file(spark or session(), path, header, types), numbered=True)
 
     @staticmethod
     def parse_csv(text: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None) -> Table:
-        return Table(*csv.read_text(spark or session(), text, header, types))
+        return Table(*csv.read_text(spark or session(), text, header, types), numbered=True)
 
     @staticmethod
     def _bytes(spark: SparkSession, path: str) -> bytes:
@@ -115,7 +116,7 @@ class Table:
         found = found.append_column(RID, pa.array(range(found.num_rows), pa.int64()))
         df = spark.createDataFrame(found)
         names = [c for c in df.columns if c != RID]
-        return Table(df.select(*_widened(df.drop(RID)), RID), names)
+        return Table(df.select(*_widened(df.drop(RID)), RID), names, numbered=True)
 
     @staticmethod
     def read(path: str, spark: SparkSession | None = None) -> Table:
@@ -139,7 +140,7 @@ class Table:
         cast = {REAL: float, INT: int, TEXT: str}
         cells = [[None if i >= len(v) or v[i] is None else cast.get(k, lambda x: x)(v[i]) for i in range(length)] for k, v in columns.values()]
         rows = [(*r, i) for i, r in enumerate(zip(*cells, strict=True))] if cells else []
-        return Table(spark.createDataFrame(rows, T.StructType([*fields, T.StructField(RID, T.LongType(), False)])), list(columns))
+        return Table(spark.createDataFrame(rows, T.StructType([*fields, T.StructField(RID, T.LongType(), False)])), list(columns), numbered=True)
 
     @staticmethod
     def from_columns(columns: Sequence[Column], spark: SparkSession | None = None) -> Table:
@@ -162,7 +163,7 @@ class Table:
     def int_sequence(name: str, start: int, stop: int, step: int = 1, spark: SparkSession | None = None) -> Table:
         df = (spark or session()).range(start, stop, step).select(F.col("id").alias(name))
         place = F.expr(f"(`{name}` - {start}L) div {step}L")
-        return Table(df.withColumn(RID, place), [name])
+        return Table(df.withColumn(RID, place), [name], numbered=True)
 
     @staticmethod
     def concat(tables: Sequence[Table]) -> Table:
@@ -318,15 +319,18 @@ class Table:
     def _hidden(self) -> list[SparkColumn]:
         return [F.col(k.column) for k in self._order]
 
-    def _with(self, df: DataFrame, names: Sequence[str] | None = None) -> Table:
-        return Table(df, self._names if names is None else names, self._order)
+    def _with(self, df: DataFrame, names: Sequence[str] | None = None, fewer: bool = False) -> Table:
+        """A table of ``df`` in this one's order; ``fewer`` if rows may be missing."""
+        return Table(df, self._names if names is None else names, self._order, self._is_numbered and not fewer)
 
     def _numbered(self, position: str = "__pos") -> DataFrame:
+        if self._is_numbered and self._order == ROW_ORDER:
+            return self._df.withColumn(position, F.col(RID))
         return dense(self._df, self._order, position)
 
     def _by_id(self) -> Table:
         """The same rows with dense ids as their only key, if they have been sorted since."""
-        return self if self._order == ROW_ORDER else Table(from_sorted(self._df, self._order), self._names)
+        return self if self._order == ROW_ORDER else Table(from_sorted(self._df, self._order), self._names, numbered=True)
 
     def column(self, name: str) -> Column:
         return Column(self, self._check(name), quoted(name))
@@ -352,7 +356,7 @@ class Table:
         renamed = dict(zip(other._names, names[self.column_count :], strict=True))
         a = self._numbered("__pos").select("__pos", *map(quoted, self._names))
         b = other._numbered("__pos").select("__pos", *[quoted(n).alias(m) for n, m in renamed.items()])
-        return Table(a.join(b, "__pos", "full").withColumnRenamed("__pos", RID), names)
+        return Table(a.join(b, "__pos", "full").withColumnRenamed("__pos", RID), names, numbered=True)
 
     def _place(self, names: Sequence[str], column: Column, name: str) -> Table:
         """``column`` as ``name`` among ``names``: computed in place, or pasted if it is another table's."""
@@ -408,7 +412,7 @@ class Table:
         """Rows where the predicate holds and no column that it mentions is null."""
         node = build_predicate(predicate)
         test = compile_predicate(node, self.kinds)
-        return self._with(self._df.filter(present(node) & test))
+        return self._with(self._df.filter(present(node) & test), fewer=True)
 
     def each(self, expression: Source) -> Column:
         """The expression of every row; null where any column that it mentions is null."""
@@ -421,7 +425,7 @@ class Table:
 
     def drop_na(self, names: Sequence[str] | None = None) -> Table:
         names = self._names if names is None else [self._check(n) for n in names]
-        return self._with(self._df.filter(nulls.all_present(names)))
+        return self._with(self._df.filter(nulls.all_present(names)), fewer=True)
 
     def drop_na_at(self, name: str) -> Table:
         return self.drop_na([name])
@@ -449,7 +453,7 @@ class Table:
             return self
         by_id = self._by_id()
         done = timeseries.interpolate(by_id._numbered(), kinds, lines).drop("__pos")
-        return Table(done.select(*map(quoted, self._names), RID), self._names)
+        return Table(done.select(*map(quoted, self._names), RID), self._names, numbered=by_id._is_numbered)
 
     def slice(self, begin: int, count: int) -> Table:
         """``count`` rows from ``begin``; counts the rows, as a slice beyond the end is an error."""
@@ -484,7 +488,7 @@ class Table:
                 c = table.column(f"__by{i}")
             made.append((c, Key(f"__s{uuid.uuid4().hex[:8]}", direction == DESCENDING, place == NULLS_BEFORE)))
         hidden = {k.column: (quoted(c.name) if c.table._df is not table._df else c.expr) for c, k in made}
-        return Table(table._df.withColumns(hidden), self._names, (*[k for _, k in made], *table._order))
+        return Table(table._df.withColumns(hidden), self._names, (*[k for _, k in made], *table._order), table._is_numbered)
 
     def sort(self, name: str, direction: str = ASCENDING) -> Table:
         return self.sort_multiple([(name, direction, NULLS_AFTER)])
@@ -563,7 +567,7 @@ class Table:
         out = f"{self._check(name)}_shift_{steps}"
         by_id = self._by_id()
         done = timeseries.shift(by_id._numbered(), name, steps, out)
-        return Table(done.drop("__pos"), [*self._names, out])
+        return Table(done.drop("__pos"), [*self._names, out], numbered=by_id._is_numbered)
 
     def rolling_multiple(self, key: str, interval: Union[timedelta, int, float], wanted: group.Wanted) -> Table:
         """key and ``<col>_<fn>`` over the rows of (t - interval, t], one row per row, in order of the key."""
@@ -727,7 +731,7 @@ class Column:
 
     def to_table(self) -> Table:
         hidden = [F.col(k.column) for k in self.table._order]
-        return Table(self.table._df.select(self.expr.alias(self.name), *hidden), [self.name], self.table._order)
+        return Table(self.table._df.select(self.expr.alias(self.name), *hidden), [self.name], self.table._order, self.table._is_numbered)
 
     @property
     def kind(self) -> str:
