@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,7 +46,8 @@ def compile_value(node: Value, kinds: Mapping[str, str]) -> Typed:
         kind = INT if isinstance(node.value, int) else REAL if isinstance(node.value, float) else TEXT
         return F.lit(node.value).cast({INT: "long", REAL: "double", TEXT: "string"}[kind]), kind
     if isinstance(node, TimeLiteral):
-        return F.timestamp_micros(F.lit(node.ns // 1000)).cast("timestamp_ntz"), TIME
+        at = datetime(1970, 1, 1) + timedelta(microseconds=node.ns // 1000)
+        return F.expr(f"TIMESTAMP_NTZ '{at.isoformat(' ', 'microseconds')}'"), TIME
     if isinstance(node, Choice):
         (a, ka), (b, kb) = compile_value(node.on_true, kinds), compile_value(node.on_false, kinds)
         kind = ka if ka == kb else _common(ka, kb, "a conditional")
