@@ -38,18 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     This cuts the lineage with files that survive a lost executor, and keeps later passes
-    from repeating the work above.
+    from repeating the work above. Results that are not yet written may read it, so the files stay
+    until ``clear_stages``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes the stage tables of this process; call it when all results have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. Pure ASCII takes the byte-wise fast path."""
     text = F.coalesce(text, F.lit(""))

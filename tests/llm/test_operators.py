@@ -421,6 +421,17 @@ def test_classifier(spark, odd):
     assert classifier.score(df.limit(3), nothing).count() == 3
 
 
+def test_clear_stages(spark):
+    common.clear_stages(spark)
+    made = common.stage(spark.range(3), "x")
+    path = common._STAGED[-1]
+    assert made.count() == 3
+    common.clear_stages(spark)
+    assert not common._STAGED
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     levels = {"lang": "lang"}
