@@ -24,12 +24,14 @@ PRIOR = {"a": -1.5, "/a": -1.5, "option": -3.0, "img": -0.5, "button": -3.0}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|head|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math|head|object|select|title)\b(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr td th ul".split())
@@ -44,16 +46,22 @@ MARKS = frozenset(
 )
 
 
+#: Of those, the ones that count for an article element itself.
+OF_ARTICLES = MARKS & frozenset("ad ads advert advertisement comment comments promo promotion related reply replies sponsored teaser".split())
+
+
 def _apart(tag: str, attributes: str, in_text: bool) -> bool:
     if tag in APART or tag == "header" and not in_text:
         return True
     if tag in ("body", "html", "main") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if _UNSEEN.search(attributes) or _HIDDEN.search(_QUOTED.sub("", attributes)):
         return True
+    marks = OF_ARTICLES if tag == "article" else MARKS - {"header"} if in_text else MARKS
     for found in _NAMES.finditer(attributes):
-        names = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found[1] or found[2] or found[3] or "").lower())
-        if not MARKS.isdisjoint(names):
+        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found[1] or found[2] or found[3] or "").lower()
+        names = re.sub(r"\b(?:with|has|no|without)-[a-z]+", "", names)
+        if not marks.isdisjoint(re.split(r"[^a-z0-9]+", names)):
             return True
     return False
 

@@ -362,6 +362,15 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in made) and html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_elements():
+    text = lambda page: html_extract.extract(page, {})
+    assert text("<div class='content with-sidebar'><p>One</p><div class='overflow-hidden'>Two</div><div hidden>Three</div></div>") == "One\n\nTwo"
+    assert text("<article class='post legal'><header class='entry-header'><h1>Title</h1></header><p>Text</p></article><article class='comment'>No</article>") == "Title\n\nText"
+    assert text("<div id='userComments'>No</div><p>Yes</p><div style='display: none'>No</div>") == "Yes"
+    assert text("<p title=\"never closed>One</p><p>Two</p>") == "One\n\nTwo"
+    assert text("<div class='ad'>Buy<article><p>One</p></article>") == "One"
+
+
 def test_html_region():
     """Without telling elements, the run of words wins over runs of links."""
     links = "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(20))
