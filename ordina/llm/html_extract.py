@@ -177,10 +177,14 @@ def extract(page: str | None, weights: Mapping[str, float]) -> str:
 
 
 def labelled(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = FIT_PAGES) -> list[str]:
-    """At most ``pages`` pages that mark their own text by an article element, those with the smallest ids."""
+    """At most ``pages`` pages that mark their own text by an article element, those with the smallest ids.
+
+    Ids are chosen first, so that each task sends no more than ids to the driver.
+    """
     page = F.col(html_col).cast("string")
-    own = df.filter(page.contains("<article") & page.contains("</article>") & (F.length(page) <= FIT_CHARS))
-    return [r[0] for r in own.orderBy(id_col).select(page).limit(pages).collect()]
+    marked = page.contains("<article") & page.contains("</article>") & (F.length(page) <= FIT_CHARS) & F.col(id_col).isNotNull()
+    ids = [r[0] for r in df.filter(marked).select(id_col).distinct().orderBy(id_col).limit(pages).collect()]
+    return [r[0] for r in df.filter(F.col(id_col).isin(ids) & marked).select(page).limit(pages).collect()] if ids else []
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Mapping[str, float] | None = None) -> DataFrame:
