@@ -33,11 +33,12 @@ COVERAGE = 0.5
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 _WORDS = r"[a-z0-9]+"
-_COMMON = frozenset("a all an and any are as by can for in is it of on or the this that to under use with work you".split())
+#: Words that say nothing about a license; they are no terms.
+COMMON = frozenset("a an and any are as at be by can do for from has have he i if in is it its may no not of on or she so that the their these they this to under use was we were which will with you your".split())
 
 
 def _terms(line: str) -> list[str]:
-    return re.findall(_WORDS, line.lower())
+    return [w for w in re.findall(_WORDS, line.lower()) if w not in COMMON]
 
 
 def vectors(templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float, float]], float]:
@@ -56,13 +57,13 @@ def telling(rows: list[tuple[str, int, str, float, float]], cosine: float) -> li
     """Terms of which any line that reaches ``cosine`` has at least one.
 
     By Cauchy's inequality a line's cosine to a template is at most the root of the squared weights of the terms
-    that they share. So of each template's terms, common words first, those may be left out whose squares
+    that they share. So of each template's terms, the lightest first, those may be left out whose squares
     add up to less than the squared cosine.
     """
     out = set()
     for template in {r[1] for r in rows}:
         left = cosine**2
-        for _, _, term, weight, _ in sorted((r for r in rows if r[1] == template), key=lambda r: (r[2] not in _COMMON, r[3], r[2])):
+        for _, _, term, weight, _ in sorted((r for r in rows if r[1] == template), key=lambda r: (r[3], r[2])):
             left -= weight**2
             if left <= 1e-9:
                 out.add(term)
@@ -72,7 +73,7 @@ def telling(rows: list[tuple[str, int, str, float, float]], cosine: float) -> li
 def line_licenses(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """(key, license, score, covered, n_terms) of ``df`` (key, text): each file's best line, over every line of the text.
 
-    covered: terms in licence lines, of the text's n_terms. Lines without a ``telling`` term cannot reach the
+    covered: words in licence lines, of the text's n_terms. Lines without a ``telling`` term cannot reach the
     cosine and leave before the join with the template terms, a table of a fixed few hundred rows.
     """
     spark: SparkSession = df.sparkSession
@@ -84,8 +85,10 @@ def line_licenses(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMP
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     files = df.select("key", F.filter(F.split(text, "\n"), lambda x: x.rlike(sign)).alias("lines"), text.alias("low"))
     files = files.filter(F.size("lines") > 0).select("key", "lines", F.regexp_count("low", F.lit(_WORDS)).alias("all_terms"))
-    lines = files.select("key", "all_terms", F.posexplode("lines").alias("at", "line")).withColumn("terms", words(F.col("line")))
-    each = lines.select("key", "at", "all_terms", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    lines = files.select("key", "all_terms", F.posexplode("lines").alias("at", "line"))
+    lines = common.stage(lines.select("key", "at", "all_terms", words(F.col("line")).alias("words")), "licence-candidates")
+    telling_words = F.filter("words", lambda w: ~w.isin(*sorted(COMMON)))
+    each = lines.select("key", "at", "all_terms", F.size("words").alias("n_terms"), F.explode(telling_words).alias("term"))
     met = each.groupBy("key", "at", "all_terms", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")).join(weights, "term", "left")
     norm = met.groupBy("key", "at", "all_terms", "n_terms").agg(F.sum(F.pow("tf", F.lit(2)) * F.coalesce(F.pow("idf", F.lit(2)), F.lit(unknown))).alias("norm2"))
     dots = met.filter("`in` IS NOT NULL").select("key", "at", "tf", "idf", F.explode("in").alias("t"))

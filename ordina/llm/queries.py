@@ -66,10 +66,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_exact_dedup, op4_mixing, op5_html_extraction, op6_minhash, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_packing)}
 
 
+def _license_sql() -> str:
+    rows, unknown = licenses.vectors()
+    values = ", ".join(f"('{name}', {i}, '{term}', {weight!r}::DOUBLE, {idf!r}::DOUBLE)" for name, i, term, weight, idf in rows)
+    return f"""
+        WITH t(license, template, term, weight, idf) AS (VALUES {values}),
+        idf AS (SELECT DISTINCT term, idf FROM t),
+        d AS (SELECT doc_id, concat_ws('/', source, lang, (doc_id // 1000)::VARCHAR) AS dir, lower(coalesce(text, '')) AS low FROM documents),
+        l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(len(string_split(low, chr(10))))) AS pos FROM d),
+        w AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM l),
+        tf AS (SELECT doc_id, pos, term, count(*) AS n FROM w WHERE term NOT IN ({', '.join(map(repr, sorted(licenses.COMMON)))}) GROUP BY ALL),
+        size AS (SELECT doc_id, pos, count(*) AS terms FROM w GROUP BY ALL),
+        norm AS (SELECT doc_id, pos, sqrt(sum(n * n * coalesce(idf * idf, {unknown!r}))) AS norm, any_value(terms) AS terms FROM tf JOIN size USING (doc_id, pos) LEFT JOIN idf USING (term) GROUP BY ALL),
+        dot AS (SELECT doc_id, pos, license, template, sum(n * idf * weight) AS dot FROM tf JOIN t USING (term) GROUP BY ALL),
+        hit AS (SELECT doc_id, pos, max(struct_pack(s := dot / norm, l := license)) AS b, any_value(terms) AS terms FROM dot JOIN norm USING (doc_id, pos) WHERE dot / norm >= {licenses.COSINE} GROUP BY ALL),
+        own AS (SELECT doc_id, max(b) AS b, sum(terms) AS covered FROM hit GROUP BY 1),
+        f AS (SELECT d.doc_id, d.dir, dir || '/' || d.doc_id || '.txt' AS path, b.l AS license, b.s AS score, covered >= {licenses.COVERAGE} * len(regexp_extract_all(low, '[a-z0-9]+')) AS grants FROM d LEFT JOIN own USING (doc_id)),
+        g AS (SELECT dir, arg_min(license, (-round(score, 6), path)) AS up, round(arg_min(score, (-round(score, 6), path)), 6) AS up_score FROM f WHERE license IS NOT NULL AND grants GROUP BY 1)
+        SELECT doc_id, path, coalesce(license, up) AS license, round(coalesce(score, up_score), 6) AS score,
+            CASE WHEN license IS NOT NULL THEN 'own' WHEN up IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+            CASE WHEN license IS NULL AND up IS NOT NULL THEN dir END AS license_dir
+        FROM f LEFT JOIN g USING (dir)"""
+
+
+_WORD_LIST = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+
 def oracle_sql() -> dict[str, str]:
+    lower_words, words = _WORD_LIST.format(text=_ASCII), _WORD_LIST.format(text="coalesce(text, '')")
     return {
+        "op2_license_scans": _license_sql(),
         "op3_exact_dedup": f"""
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
             FROM (SELECT doc_id, {_ASCII} AS norm FROM documents) WINDOW w AS (PARTITION BY norm)""",
+        "op6_minhash": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, {lower_words} AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS x
+                  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+            r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+            SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+            FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+        "op9_substring_dedup": f"""
+            WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
+            x AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+            c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM x) WHERE n > 1),
+            g AS (SELECT r, list(DISTINCT pos) AS gone FROM (SELECT r, unnest(range(i, i + 35)) AS pos FROM c) GROUP BY 1),
+            k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda pos: NOT list_contains(gone, pos)))) END AS kept FROM d LEFT JOIN g USING (r))
+            SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     }

@@ -387,7 +387,7 @@ def test_licenses(spark):
         ("src/vendor/COPYING", "This work is licensed under the GNU General Public License, version 3.", 1),
         ("src/vendor/deep/c.py", None, 1),
         ("src/vendor/deep/c.py", None, 1),
-        ("docs/x.md", "the rights of all, reserved seats of the public version", 1),
+        ("docs/x.md", "the rights of all, reserved seats in numbered rows, and a public version of the play", 1),
         (None, "", 1),
     ]
     df = spark.createDataFrame(files, "path string, text string, license int")
