@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -70,11 +70,25 @@ def telling(rows: list[tuple[str, int, str, float, float]], cosine: float) -> li
     return sorted(out)
 
 
+def _reachable(rows: list[tuple[str, int, str, float, float]], unknown: float, cosine: float) -> Column:
+    """False where a line's ``terms`` that no template has outweigh the others too far to reach ``cosine``.
+
+    The squared cosine is at most the share of the line's squared norm that lies in template terms. Each other
+    distinct term adds at least ``unknown``, and template terms at most (their number times their largest IDF)².
+    """
+    known = sorted({r[2] for r in rows})
+    most = max(r[4] for r in rows)
+    inside = F.size(F.filter("terms", lambda w: w.isin(*known)))
+    outside = F.size(F.filter(F.array_distinct("terms"), lambda w: ~w.isin(*known)))
+    return outside * F.lit(unknown) <= (1 / cosine**2 - 1) * F.pow(inside * F.lit(most), F.lit(2)) + F.lit(1e-6)
+
+
 def line_licenses(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """(key, license, score, covered, n_terms) of ``df`` (key, text): each file's best line, over every line of the text.
 
-    covered: words in licence lines, of the text's n_terms. Lines without a ``telling`` term cannot reach the
-    cosine and leave before the join with the template terms, a table of a fixed few hundred rows.
+    covered: words in licence lines, of the text's n_terms. Lines without a ``telling`` term, and those with too
+    many other terms, cannot reach the cosine and leave before the join with the template terms, a table of a
+    fixed few hundred rows.
     """
     spark: SparkSession = df.sparkSession
     rows, unknown = vectors(templates)
@@ -86,9 +100,10 @@ def line_licenses(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMP
     files = df.select("key", F.filter(F.split(text, "\n"), lambda x: x.rlike(sign)).alias("lines"), text.alias("low"))
     files = files.filter(F.size("lines") > 0).select("key", "lines", F.regexp_count("low", F.lit(_WORDS)).alias("all_terms"))
     lines = files.select("key", "all_terms", F.posexplode("lines").alias("at", "line"))
-    lines = common.stage(lines.select("key", "at", "all_terms", words(F.col("line")).alias("words")), "licence-candidates")
-    telling_words = F.filter("words", lambda w: ~w.isin(*sorted(COMMON)))
-    each = lines.select("key", "at", "all_terms", F.size("words").alias("n_terms"), F.explode(telling_words).alias("term"))
+    lines = lines.select("key", "at", "all_terms", words(F.col("line")).alias("words"))
+    lines = lines.withColumn("terms", F.filter("words", lambda w: ~w.isin(*sorted(COMMON)))).filter(_reachable(rows, unknown, cosine))
+    lines = common.stage(lines.select("key", "at", "all_terms", F.size("words").alias("n_terms"), "terms"), "licence-candidates")
+    each = lines.select("key", "at", "all_terms", "n_terms", F.explode("terms").alias("term"))
     met = each.groupBy("key", "at", "all_terms", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")).join(weights, "term", "left")
     norm = met.groupBy("key", "at", "all_terms", "n_terms").agg(F.sum(F.pow("tf", F.lit(2)) * F.coalesce(F.pow("idf", F.lit(2)), F.lit(unknown))).alias("norm2"))
     dots = met.filter("`in` IS NOT NULL").select("key", "at", "tf", "idf", F.explode("in").alias("t"))
