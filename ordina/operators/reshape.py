@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compile import quoted
-
 
 def split_on(c: Column, separators: str) -> Column:
     """List of the parts between any of the separator characters, empty parts included; null stays null."""
