@@ -18,17 +18,17 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
 
-#: Ratio -> (numerator, denominator, floor of the upper threshold). A threshold is never stricter than its
-#: floor, so a group of clean documents, whose quantiles lie close together, loses none of them.
+#: Ratio -> (numerator, denominator, least spread). The spread is the interquartile range, but where a group's
+#: quartiles lie closer together than the least spread, that stands in for it; the quartile itself has no floor.
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 0.03),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.45),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.20),
-    "upper_ratio": ("n_upper", "word_chars", 0.50),
-    "bang_ratio": ("n_bangs", "n_words", 0.25),
-    "mean_word": ("word_chars", "n_words", 20.0),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.005),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.06),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.025),
+    "upper_ratio": ("n_upper", "word_chars", 0.015),
+    "bang_ratio": ("n_bangs", "n_words", 0.03),
+    "mean_word": ("word_chars", "n_words", 0.25),
 }
-#: Upper threshold: third quartile and so many interquartile ranges.
+#: Upper threshold: third quartile and so many spreads.
 SPREAD = 6.0
 #: Smallest group whose own sketch sets thresholds; smaller ones use their language's, then all documents'.
 MIN_GROUP = 200
@@ -99,16 +99,16 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
     def limits(level: DataFrame, keys: list[str], tag: str) -> DataFrame:
         out = []
-        for r, (_, _, floor) in RATIOS.items():
+        for r, (_, _, least) in RATIOS.items():
             q = lambda p, r=r: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.lit(p)))
-            out.append(F.greatest(F.lit(floor), q(0.75) + SPREAD * (q(0.75) - q(0.25))).alias(f"{r}_{tag}"))
+            out.append((q(0.75) + SPREAD * F.greatest(F.lit(least), q(0.75) - q(0.25))).alias(f"{r}_{tag}"))
         return level.select(*keys, F.col("n").alias(f"n_{tag}"), *out)
 
     by_lang = limits(own.groupBy("lang").agg(F.sum("n").alias("n"), *merged), ["lang"], "lang").withColumnRenamed("lang", "of_lang")
     overall = limits(own.agg(F.sum("n").alias("n"), *merged), [], "all").first()
     each = limits(own, ["lang", "source", "group_rows"], "own")
     each = each.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    last = {r: RATIOS[r][2] if overall[f"{r}_all"] is None else overall[f"{r}_all"] for r in RATIOS}
+    last = {r: SPREAD * RATIOS[r][2] if overall[f"{r}_all"] is None else overall[f"{r}_all"] for r in RATIOS}
     pick = [F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{r}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{r}_lang")).otherwise(F.lit(last[r])).alias(f"{r}_max") for r in RATIOS]
     return each.select("lang", "source", "group_rows", *pick)
 

@@ -217,6 +217,20 @@ def test_thresholds_follow_their_group(spark):
     assert all(kept[1000 + i] for i in range(250))
 
 
+def test_sketched_limits_decide(spark):
+    """Outliers of their group fall at a value that is usual in another group; repeats fall below the base rule."""
+    rng = random.Random(12)
+    text = lambda size, n=100: " ".join("".join(rng.choices("abcdefghij", k=size + rng.randrange(3))) for _ in range(n))
+    shout = lambda: "".join(x.upper() if rng.random() < 0.3 else x for x in text(5))
+    part = text(5, 8)
+    odd = [(1, text(11), "short"), (2, shout(), "short"), (3, f"{part} {text(5, 84)} {part}", "short"), (4, text(11), "long"), (5, shout(), "loud")]
+    table = odd + [(1000 + i, text(5), "short") for i in range(220)] + [(2000 + i, text(11), "long") for i in range(220)] + [(3000 + i, shout(), "loud") for i in range(220)]
+    df = spark.createDataFrame([(i, t, "en", source, len(t)) for i, t, source in table], "doc_id long, text string, lang string, source string, n_chars long")
+    made = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert [made[i].broken for i in (1, 2, 3)] == [["mean_word"], ["upper_ratio"], ["repeat_ratio"]] and not any(made[i].base_failed for i in (1, 2, 3))
+    assert all(r.kept for i, r in made.items() if i > 3)
+
+
 def test_packing(docs, rows, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
