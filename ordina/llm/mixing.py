@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
+#: The vocabulary that tokens are counted in, that of packing.
+VOCABULARY = "byte_bpe_50k"
 LEVELS = ("domain", "lang", "source")
 #: Rows of a leaf that share a bucket of its seeded order, on average.
 BUCKET_ROWS = 2048
@@ -16,9 +20,17 @@ BUCKET_ROWS = 2048
 BROADCAST_LEAVES = 10_000
 
 
-def estimated_tokens(text: Column) -> Column:
-    """A quarter of the UTF-8 bytes, rounded up; null and empty text have none."""
-    return F.coalesce(F.ceil(F.octet_length(text.cast("string")) / 4), F.lit(0)).cast("long")
+def _count(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokenizing import encoder
+
+        ids = encoder(vocabulary).ids
+        for batch in batches:
+            last = batch.num_columns - 1
+            tokens = pa.array([len(ids(t.as_py() or "")) // 4 for t in batch.column(last)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], tokens], names=[*batch.schema.names[:last], "tokens"])
+
+    return run
 
 
 def _weight(path: Sequence[str], weights: Mapping[tuple[str, ...], float]) -> Column:
@@ -68,8 +80,13 @@ def _named(levels: Mapping[str, str]) -> list[Column]:
     return [F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
 
 
-def _rows(df: DataFrame, levels: Mapping[str, str], id_col: str, tokens: Column) -> DataFrame:
-    return df.select(*_named(levels), F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
+def _rows(df: DataFrame, levels: Mapping[str, str], id_col: str, text_col: str, tokens: Column | None) -> DataFrame:
+    """(levels, doc_id, tokens) of every row, staged, so that each text is tokenized once."""
+    keys = [*_named(levels), F.col(id_col).cast("long").alias("doc_id")]
+    if tokens is not None:
+        return common.stage(df.select(*keys, tokens.alias("tokens")), "mix-rows")
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in levels), T.StructField("doc_id", T.LongType()), T.StructField("tokens", T.LongType())])
+    return common.stage(df.select(*keys, F.col(text_col).cast("string").alias("__text")).mapInArrow(_count(VOCABULARY), schema), "mix-rows")
 
 
 def _order(seed: int) -> Column:
@@ -120,7 +137,8 @@ def mix(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ..
     """One row per input row: doc_id, the levels, tokens, leaf_budget, epochs, last_tokens.
 
     ``levels`` are SQL expressions by name, from the root down; ``weights`` are by path of their values.
-    ``share`` of all tokens (``tokens``, an estimate from the text where it isn't given) is budgeted among the
+    ``share`` of all tokens (``tokens``; where not given, the text's ids in VOCABULARY, as packing encodes it but
+    without its document end) is budgeted among the
     leaves of the tree ``levels`` (see ``budgets``), no leaf more than ``max_epochs`` times what it has. A leaf
     gives each row ``epochs`` whole times and, from one more seeded order of its rows, the prefix of tokens
     that fills its budget: ``last_tokens`` of the row. So epochs * tokens + last_tokens adds up to the budget.
@@ -131,7 +149,7 @@ def mix(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ..
     * weights have to be positive; an empty table gives an empty result; other columns are not read.
     """
     names = list(levels)
-    rows = common.stage(_rows(df, levels, id_col, estimated_tokens(F.col(text_col)) if tokens is None else tokens), "mix-rows")
+    rows = _rows(df, levels, id_col, text_col, tokens)
     leaves = plan(rows, names, weights, share, max_epochs, seed)
     met = _selected(common.lookup(rows, leaves, names, "n", rows.count()), seed)
     return met.select("doc_id", *names, "tokens", F.col("budget").alias("leaf_budget"), "epochs", "last_tokens")
@@ -140,13 +158,14 @@ def mix(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ..
 def take(df: DataFrame, levels: Mapping[str, str], weights: Mapping[tuple[str, ...], float], share: float = 0.8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that a mixture of at most one epoch takes, whole; columns as in ``df``.
 
-    The row at a leaf's cut is taken whole. Texts are not shuffled: the plan, one row per leaf, is broadcast
+    Tokens are counted as in ``mix``. The row at a leaf's cut is taken whole. Texts are not shuffled: the plan, one row per leaf, is broadcast
     up to BROADCAST_LEAVES leaves and joined by leaf beyond.
     """
     names = list(levels)
-    tokens = estimated_tokens(F.col(text_col))
-    rows = common.stage(_rows(df, levels, id_col, tokens), "mix-rows")
+    rows = _rows(df, levels, id_col, text_col, None)
     leaves = plan(rows, names, weights, share, 1, seed)
+    # The cut is in the plan: of a row's own tokens only whether it has any matters from here on, and any text has.
+    tokens = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) > 0).cast("long")
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_named(levels), F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
     few = leaves.count() <= BROADCAST_LEAVES
     met = wide.join(F.broadcast(leaves), names) if few else common.lookup(wide, leaves, names, "n", rows.count())

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ordina.llm import classifier, common, components, exact_dedup, html_extract, licenses, minhash, mixing, packing, quality_rules, substring, token_counts, tokenizing
 
@@ -323,6 +324,25 @@ def test_mixing(docs, odd, spark):
         mixing.mix(docs, levels, {("crawl",): 0})
 
 
+def test_mixing_counts_real_tokens(docs, rows, spark):
+    """Tokens are the packing vocabulary's, so budgets and prefixes are cut in those, whatever a language needs per byte."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    size = lambda text: len(t.encode(text or "", add_special_tokens=False).ids)
+    levels = {"lang": "lang", "source": "source"}
+    assert {r.doc_id: r.tokens for r in mixing.mix(docs, levels, {}).collect()} == {i: size(text) for i, text in rows}
+    rng = random.Random(14)
+    dense = [(i, " ".join(rng.choices(["the", "of", "this", "people"], k=rng.randint(5, 60))), "en") for i in range(80)]
+    wide = [(100 + i, " ".join(rng.choices(["ñandúes", "übërgröße", "ção", "żółw"], k=rng.randint(5, 60))), "es") for i in range(80)]
+    table = spark.createDataFrame([(i, text, lang, size(text)) for i, text, lang in dense + wide], "doc_id long, text string, lang string, n long")
+    made = mixing.mix(table, {"lang": "lang"}, {}, share=0.5, max_epochs=1, tokens=F.col("n")).filter("epochs > 0 OR last_tokens > 0")
+    taken = mixing.take(table, {"lang": "lang"}, {}, share=0.5)
+    assert sorted(r.doc_id for r in taken.collect()) == sorted(r.doc_id for r in made.collect())
+
+
 def brute_budgets(tree, total, weights, path=()):
     """Water filling by repeated rounds: full children leave, the others share what is left."""
     if not isinstance(tree, dict):
