@@ -235,8 +235,11 @@ class Table:
         return f"Table<{self.column_count}x{self.row_count}>"
 
     def to_list(self) -> list[tuple]:
-        """All rows as tuples, on the driver."""
-        return [tuple(r) for r in self.df.limit(MOST_LOCAL_ROWS).collect()]
+        """All rows as tuples, on the driver; an error where there are more than MOST_LOCAL_ROWS."""
+        rows = self.df.limit(MOST_LOCAL_ROWS + 1).collect()
+        if len(rows) > MOST_LOCAL_ROWS:
+            raise ValueError(f"the table has more than {MOST_LOCAL_ROWS} rows; write it to files instead")
+        return [tuple(r) for r in rows]
 
     def to_columns(self) -> dict[str, list]:
         rows = self.to_list()

@@ -121,6 +121,16 @@ def test_metadata(t, spark):
     assert Column.index(3, spark).to_list() == [0, 1, 2]
 
 
+def test_local_rows_are_never_cut(t, monkeypatch, tmp_path):
+    n = t.row_count
+    monkeypatch.setattr("ordina.table.MOST_LOCAL_ROWS", n)
+    assert len(t.to_list()) == n
+    monkeypatch.setattr("ordina.table.MOST_LOCAL_ROWS", n - 1)
+    for call in (t.to_list, t.to_columns, lambda: t.write_xlsx(str(tmp_path / "x.xlsx"))):
+        with pytest.raises(ValueError, match="more than"):
+            call()
+
+
 def test_slices(t):
     assert t.take(2).to_columns()["a"] == [-1, 2]
     assert t.drop(3).to_columns()["a"] == [-4, 5]
