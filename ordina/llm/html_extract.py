@@ -24,7 +24,9 @@ PRIOR = {"a": -1.5, "/a": -1.5, "option": -3.0, "img": -0.5, "button": -3.0}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|head|object|select|title)\b(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|select|title)\b(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
+    # A head whose end tag is left out is only its start tag here; what stands in it has tokens of its own.
+    r"|<head\b(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>(?:(?:(?!<body\b).)*?</head\s*>)?"
     r"|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )

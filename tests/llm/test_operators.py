@@ -405,6 +405,13 @@ def test_html_elements():
     assert text("<div class='ad'>Buy<article><p>One</p></article>") == "One"
 
 
+def test_html_head_left_open():
+    text = lambda page: html_extract.extract(page, {})
+    head = "<html><head><meta charset=x><title>T</title><script>var a = '<body>';</script>"
+    for page in (head + "<body><p>One</p><p>Two</p></body>", head + "<p>One</p><p>Two</p>", head + "</head><body><p>One</p><p>Two</p></body>"):
+        assert text(page) == "One\n\nTwo"
+
+
 def test_html_region():
     """Without telling elements, the run of words wins over runs of links."""
     links = "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(20))
