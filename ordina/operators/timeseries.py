@@ -49,16 +49,16 @@ def interpolate(df: DataFrame, kinds: Mapping[str, str], names: Sequence[str], p
     for i, n in enumerate(names):
         ends += [F.max_by(F.when(quoted(n).isNotNull(), pair(n)), F.when(quoted(n).isNotNull(), F.col(position))).alias(f"__l{i}"), F.min_by(F.when(quoted(n).isNotNull(), pair(n)), F.when(quoted(n).isNotNull(), F.col(position))).alias(f"__f{i}")]
     carry = rows.groupBy("__block").agg(*ends)
-    back, ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    back, ahead = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__block").asc(), F.col("__block").desc()))
     columns = []
     for i in range(len(names)):
-        columns += [F.last(f"__l{i}", True).over(back).alias(f"__before{i}"), F.first(f"__f{i}", True).over(ahead).alias(f"__after{i}")]
+        columns += [F.last(f"__l{i}", True).over(back).alias(f"__before{i}"), F.last(f"__f{i}", True).over(ahead).alias(f"__after{i}")]
     met = rows.join(checked_broadcast(carry.select("__block", *columns)), "__block")
-    here = Window.partitionBy("__block").orderBy(position)
-    for i, n in enumerate(names):
-        known = F.when(quoted(n).isNotNull(), pair(n))
-        met = met.withColumn(f"__p{i}", F.coalesce(F.last(known, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__before{i}")))
-        met = met.withColumn(f"__n{i}", F.coalesce(F.first(known, True).over(here.rowsBetween(0, Window.unboundedFollowing)), F.col(f"__after{i}")))
+    # Only frames that grow with the row are evaluated in linear time, so the value after is found in falling order.
+    rising, falling = (Window.partitionBy("__block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(position).asc(), F.col(position).desc()))
+    known = [F.when(quoted(n).isNotNull(), pair(n)) for n in names]
+    met = met.withColumns({f"__n{i}": F.coalesce(F.last(k, True).over(falling), F.col(f"__after{i}")) for i, k in enumerate(known)})
+    met = met.withColumns({f"__p{i}": F.coalesce(F.last(k, True).over(rising), F.col(f"__before{i}")) for i, k in enumerate(known)})
     filled = {}
     for i, n in enumerate(names):
         kind, spark = kinds[n], df.schema[n].dataType
