@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ASCENDING, DESCENDING, INT, NULLS_AFTER, NULLS_BEFORE, REAL, TEXT, Aggregate, Column, Table
+from . import ASCENDING, DESCENDING, INT, NULLS_AFTER, NULLS_BEFORE, REAL, TEXT, TIME, Aggregate, Column, ColumnBuilder, Field, Schema, Table
 from .functions.compile import quoted
-from .operators.learn import LinearRegression
+from .operators.learn import LinearRegression, LogisticRegression
+from .plans.order import stage_path
 
 A = Aggregate
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,9 +201,10 @@ def slice_rows(read):
     return read("events").sort("ts").slice(100, 300).columns(["event_id", "user_id"])
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey IN (3, 1, 2)")
+@query("SELECT i AS at, n_name FROM (VALUES (0::BIGINT, 3), (1, 1), (2, 2), (3, 3)) AS v(i, k) JOIN nation ON n_nationkey = k")
 def permute_rows(read):
-    return read("nation").sort("n_nationkey").permute([3, 1, 2]).columns(["n_name"])
+    t = read("nation").sort("n_nationkey").permute([3, 1, 2, 3])
+    return Table.concat([Table.int_sequence("at", 0, 4, spark=t._df.sparkSession), t.columns(["n_name"])])
 
 
 @query(f"SELECT event_id FROM {_HOLES} WHERE value IS NOT NULL AND event_type IS NOT NULL")
@@ -438,9 +441,10 @@ def linear_regression_predict(read):
     return quantities.predict(fitted)
 
 
-@query("SELECT o_orderstatus AS truth, o_orderstatus AS guess, count(*) AS count FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS truth, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE 'O' END AS guess, count(*) AS count FROM orders GROUP BY 1, 2")
 def confusion_matrix(read):
-    return read("orders").confusion_matrix("o_orderstatus", "o_orderstatus")
+    t = read("orders").each_to("guess", lambda r: (r["o_totalprice"] > 150000).switch("F", "O"))
+    return t.confusion_matrix("o_orderstatus", "guess")
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
@@ -464,3 +468,319 @@ def from_lists(read):
     spark = read("region")._df.sparkSession
     return Table.from_columns([Column.from_list("x", INT, [1, 2, 3], spark), Column.from_list("y", TEXT, ["a", "b"], spark)])
 
+
+
+# Files: written to the shared folder and read back.
+
+_NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+
+
+def _path(t: Table, name: str) -> str:
+    return stage_path(t._df.sparkSession, name)
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def csv_file(read):
+    t = read("part")
+    t.write_csv_parts(path := _path(t, "csv"))
+    return Table.read_csv(path, spark=t._df.sparkSession)
+
+
+@query("SELECT event_id, user_id, value, event_type, props FROM events")
+def csv_file_quoted(read):
+    """Quotes and separators within cells; numbers with at most six decimals come back as they were."""
+    t = read("events").columns(["event_id", "user_id", "value", "event_type", "props"])
+    t.write_csv_parts(path := _path(t, "csv"), separator=";", quote="'")
+    return Table.read_csv(path, separator=";", quote="'", spark=t._df.sparkSession)
+
+
+@query("SELECT doc_id, text FROM documents WHERE length(text) > 0 AND contains(text, chr(10))")
+def csv_file_line_ends(read):
+    """Line ends within quoted cells."""
+    t = read("documents").columns(["doc_id", "text"])
+    t = t._with(t._df.filter("length(text) > 0 AND contains(text, char(10))"), fewer=True)
+    t.write_csv_parts(path := _path(t, "csv"), quote_all=True)
+    return Table.read_csv(path, types=[INT, TEXT], spark=t._df.sparkSession)
+
+
+@query("SELECT r_regionkey::BIGINT AS col0, r_name AS col1 FROM region")
+def csv_generated_names(read):
+    t = read("region")
+    return Table.parse_csv(t.to_csv(header=False), "generated", spark=t._df.sparkSession)
+
+
+@query("SELECT r_regionkey::BIGINT AS key, r_name AS col1 FROM region")
+def csv_custom_names(read):
+    t = read("region")
+    return Table.parse_csv(t.to_csv(header=False), ["key"], spark=t._df.sparkSession)
+
+
+@query("SELECT r_regionkey::DOUBLE AS r_regionkey, NULL::BIGINT AS r_name FROM region")
+def csv_types_given(read):
+    t = read("region")
+    return Table.parse_csv(t.to_csv(), types=[REAL, INT], spark=t._df.sparkSession)
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def read_auto_xlsx(read):
+    """Told from its first bytes; cells without a given type are text."""
+    t = read("nation")
+    t.write_xlsx(path := _path(t, "xlsx"))
+    return Table.read(path, spark=t._df.sparkSession)
+
+
+@query(_NATION)
+def read_auto_csv(read):
+    t = read("nation")
+    t.write_csv_parts(path := _path(t, "csv"))
+    return Table.read(path, spark=t._df.sparkSession)
+
+
+@query(_NATION)
+def xlsx_file(read):
+    t = read("nation")
+    t.write_xlsx(path := _path(t, "xlsx"))
+    return Table.read_xlsx(path, types=[INT, TEXT, INT], spark=t._df.sparkSession)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def feather_file(read):
+    t = read("orders").columns(["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    t.write_feather(path := _path(t, "feather"))
+    return Table.read(path, spark=t._df.sparkSession)
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS at FROM orders")
+def parquet_file(read):
+    """Rows come back in the order that they were written in."""
+    t = read("orders").columns(["o_orderkey", "o_totalprice"]).sort("o_orderkey").sort("o_totalprice")
+    t.write_parquet(path := _path(t, "parquet"))
+    back = Table.read_parquet(path, t._df.sparkSession)
+    return Table.concat([back, Table.int_sequence("at", 0, back.row_count, spark=t._df.sparkSession)])
+
+
+@query(_NATION)
+def to_list_and_back(read):
+    t = read("nation")
+    rows, kinds = t.to_list(), t.kinds
+    return Table.from_lists({n: (kinds[n], [r[i] for r in rows]) for i, n in enumerate(t.column_names)}, t._df.sparkSession)
+
+
+@query("""SELECT 'r_name' AS name, string_agg(r_name, '|' ORDER BY r_regionkey) AS cells FROM region
+    UNION ALL SELECT 'r_regionkey', string_agg(r_regionkey::VARCHAR, '|' ORDER BY r_regionkey) FROM region""")
+def json_preview(read):
+    t = read("region")
+    made = json.loads(t.sort("r_regionkey").to_json())
+    return Table.from_lists({"name": (TEXT, made["header"]), "cells": (TEXT, ["|".join(map(str, c)) for c in made["data"]])}, t._df.sparkSession)
+
+
+@query("""WITH w AS (SELECT greatest(6, max(length(r_name))) AS n, max(r_regionkey) - 4 AS top FROM region)
+    SELECT 'r_regionkey | ' || lpad('r_name', n::INT, ' ') AS line FROM w
+    UNION ALL SELECT lpad(r_regionkey::VARCHAR, 11, ' ') || ' | ' || lpad(r_name, n::INT, ' ') FROM region, w""")
+def pretty_print(read):
+    t = read("region")
+    return Table.from_lists({"line": (TEXT, t.sort("r_regionkey").to_text().split("\n"))}, t._df.sparkSession)
+
+
+# Metadata.
+
+
+@query(f"""SELECT unnest(['event_id', 'value', 'event_type']) AS name, unnest(['int', 'real', 'text']) AS kind,
+    unnest([count(*) - count(event_id), count(*) - count(value), count(*) - count(event_type)]) AS nulls, count(*) AS length, 3::BIGINT AS columns FROM {_HOLES}""")
+def metadata(read):
+    t = _holes(read("events")).columns(["event_id", "value", "event_type"])
+    nulls = t.null_counts()
+    cells = {"name": (TEXT, t.column_names), "kind": (TEXT, [t.kinds[n] for n in t.column_names]), "nulls": (INT, [nulls[n] for n in t.column_names])}
+    return Table.from_lists({**cells, "length": (INT, [t.row_count] * 3), "columns": (INT, [t.column_count] * 3)}, t._df.sparkSession)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'n_nationkey', 'int', 0::BIGINT), (1, 'extra', 'real', 1), (2, 'n_regionkey', 'int', 2)) AS t(place, name, kind, found)")
+def schema_fields(read):
+    t = read("nation")
+    schema = t.schema.add_field(1, Field("extra", REAL)).remove_field(2)
+    fields = schema.to_list()
+    cells = {"place": (INT, list(range(len(fields)))), "name": (TEXT, [f.name for f in fields]), "kind": (TEXT, [schema.field_at(i).kind for i in range(len(schema))])}
+    return Table.from_lists({**cells, "found": (INT, [schema.index_of(f.name) for f in fields])}, t._df.sparkSession)
+
+
+@query("""SELECT unnest(['itself', 'other order', 'other name', 'other cell']) AS compared, unnest([1::BIGINT, (count(DISTINCT n_name) < 2)::BIGINT, 0, 0]) AS same FROM nation""")
+def table_equality(read):
+    t = read("nation").sort("n_nationkey")
+    others = [read("nation").sort("n_nationkey"), t.sort_descending("n_name"), t.rename("n_name", "name"), t.each_to("n_regionkey", lambda r: r["n_regionkey"] + (r["n_nationkey"] == 7).switch(1, 0))]
+    return Table.from_lists({"compared": (TEXT, ["itself", "other order", "other name", "other cell"]), "same": (INT, [int(t == o) for o in others])}, t._df.sparkSession)
+
+
+@query("SELECT r_name FROM region")
+def to_column(read):
+    return read("region").at("r_name").to_column().to_table()
+
+
+@query("SELECT n_name AS name, n_regionkey::BIGINT AS key FROM nation")
+def from_schema_and_columns(read):
+    t = read("nation")
+    schema = Schema.from_fields([Field("name", TEXT), Field("key", INT)])
+    return Table.from_schema_and_columns(schema, [t.column("n_name"), t.column("n_regionkey")], t._df.sparkSession)
+
+
+@query("SELECT * FROM (VALUES (1.5::DOUBLE), (NULL), (3)) AS t(x)")
+def column_builder(read):
+    return ColumnBuilder("x", REAL).append(1.5).append_many([None, 3]).finish(read("region")._df.sparkSession).to_table()
+
+
+# Rows.
+
+
+@query(f"SELECT event_id FROM (SELECT *, nullif(user_id, 3) AS known FROM {_HOLES}) WHERE value IS NOT NULL AND known IS NOT NULL")
+def drop_na_set(read):
+    t = _holes(read("events"))
+    t = t.set_at("known", Column(t, "known", F.nullif("user_id", F.lit(3))))
+    return t.drop_na(["value", "known"]).columns(["event_id"])
+
+
+def _gaps(t: Table) -> Table:
+    """Real, integer and timestamp columns with nulls at both ends, in between, and over long stretches."""
+    e = F.col("event_id")
+    gaps = {"v": F.when((e % 7 > 2) & (e > 5), F.col("value")), "u": F.when((e % 100 > 40) & (e % 3 == 0), F.col("user_id") * 10), "w": F.when(e % 4 == 1, F.col("ts"))}
+    rows = t._df.withColumns(gaps).withColumn("n", F.lit(None).cast("long"))
+    return t._with(rows, ["event_id", "v", "u", "w", "n"])
+
+
+def _line(c: str, number: str, made: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}0 IS NULL THEN {c}1 WHEN {c}1 IS NULL THEN {c}0 ELSE {made.format(line=f'((1 - (i - {c}p0) / ({c}p1 - {c}p0)) * {number.format(c=c + str(0))} + (i - {c}p0) / ({c}p1 - {c}p0) * {number.format(c=c + str(1))})')} END"
+
+
+_AROUND = ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER up AS {c}0, first_value({c} IGNORE NULLS) OVER down AS {c}1, last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER up AS {c}p0, first_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER down AS {c}p1"
+    for c in "vuw"
+)
+
+
+@query(f"""SELECT event_id, round({_line('v', '{c}', '{line}')}, 6) AS v, {_line('u', '{c}::DOUBLE', 'trunc({line})::BIGINT')} AS u,
+    {_line('w', 'epoch_us({c})::DOUBLE', 'make_timestamp(trunc({line})::BIGINT)')} AS w, NULL::BIGINT AS n FROM (SELECT event_id, v, u, w, i, {_AROUND} FROM (
+        SELECT event_id, CASE WHEN event_id % 7 > 2 AND event_id > 5 THEN value END AS v, CASE WHEN event_id % 100 > 40 AND event_id % 3 = 0 THEN user_id * 10 END AS u,
+            CASE WHEN event_id % 4 = 1 THEN ts END AS w, row_number() OVER (ORDER BY event_id) AS i FROM events)
+    WINDOW up AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", 6)
+def interpolate_table(read):
+    return _gaps(read("events").sort("event_id")).interpolate()
+
+
+@query("""SELECT a.n_nationkey::BIGINT AS n_nationkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a
+    JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey DESC) AS i FROM nation) b USING (i) ORDER BY b.n_name LIMIT 7""")
+def sort_by_foreign_column(read):
+    other = read("nation").sort_descending("n_nationkey")
+    return read("nation").sort("n_nationkey").sort_multiple([(other.column("n_name"), ASCENDING, NULLS_AFTER)]).take(7).columns(["n_nationkey"])
+
+
+@query("SELECT c_custkey, round(c_acctbal / 3.5, 4) AS quotient, round(c_acctbal % 2.5, 4) AS rest FROM customer")
+def each_real_div_mod(read):
+    return read("customer").columns(["c_custkey", "c_acctbal"]).each_to("quotient", lambda r: r["c_acctbal"] / 3.5).each_to("rest", lambda r: r["c_acctbal"] % 2.5).remove("c_acctbal")
+
+
+# Statistics.
+
+
+@query("""SELECT round(min(o_totalprice), 3) AS min, round(max(o_totalprice), 3) AS max, round(avg(o_totalprice), 3) AS mean, round(quantile_cont(o_totalprice, 0.5), 3) AS median,
+    round(stddev_pop(o_totalprice), 3) AS std, round(sum(o_totalprice), 3) AS sum FROM orders""", 3)
+def scalar_statistics(read):
+    c = read("orders").column("o_totalprice")
+    made = {"min": c.min_value(), "max": c.max_value(), "mean": c.mean_value(), "median": c.median_value(), "std": c.std_value(), "sum": c.sum_value()}
+    return Table.from_lists({n: (REAL, [v]) for n, v in made.items()}, c.table._df.sparkSession)
+
+
+@query('SELECT round(100 * avg(greatest(d, 0)) / (avg(greatest(d, 0)) - avg(least(d, 0))), 6) AS "RSI" FROM (SELECT value - 50.5 AS d FROM events)', 6)
+def column_rsi(read):
+    return read("events").each(lambda r: r["value"] - 50.5).rsi().to_table()
+
+
+@query(f"SELECT round(corr(value, user_id), 6) AS correlation FROM {_HOLES}", 6)
+def pair_correlation(read):
+    t = _holes(read("events"))
+    return Table.from_lists({"correlation": (REAL, [t.column("value").correlation(t.column("user_id"))])}, t._df.sparkSession)
+
+
+@query("""SELECT event_id, round(sum(value) OVER w, 4) AS value_sum, round(first_value(value) OVER w, 4) AS value_first, (count(*) OVER w)::DOUBLE AS value_length
+    FROM events WINDOW w AS (ORDER BY event_id RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)""")
+def rolling_integer_key(read):
+    return read("events").rolling_multiple("event_id", 50, [("value", [A.SUM, A.FIRST, A.LENGTH])])
+
+
+@query("""SELECT half, round(sum(value) OVER w, 4) AS value_sum, round(max(value) OVER w, 4) AS value_max FROM (SELECT event_id / 2 AS half, value FROM events)
+    WINDOW w AS (ORDER BY half RANGE BETWEEN 10.25 PRECEDING AND CURRENT ROW)""")
+def rolling_real_key(read):
+    t = read("events").each_to("half", lambda r: r["event_id"] * 0.5)
+    return t.rolling_multiple("half", 10.25, [("value", [A.SUM, A.MAXIMUM])])
+
+
+# Shape, functions, learning, charts.
+
+
+@query("SELECT unnest(regexp_split_to_array(p_name, '[ ]')) AS p_name_splitted FROM part")
+def flatten_lists(read):
+    return read("part").split_on("p_name", " ").flatten().to_table()
+
+
+@query("SELECT vec_id, len(embedding) AS size FROM embeddings")
+def map_lists(read):
+    t = read("embeddings")
+    return t.set_at("size", t.column("embedding").map("size", INT, len)).columns(["vec_id", "size"])
+
+
+@query(f"SELECT value AS v FROM {_HOLES}")
+def numpy_and_back(read):
+    t = _holes(read("events"))
+    return Column.from_numpy("v", t.column("value").to_numpy(), t._df.sparkSession).to_table()
+
+
+@query("""SELECT 'linear' AS model, round(regr_r2(l_extendedprice, l_quantity), 6) AS score FROM lineitem
+    UNION ALL SELECT 'logistic', round(avg(((l_quantity > 25) = (l_quantity > 30))::INT), 6) FROM lineitem WHERE l_quantity < 21 OR l_quantity > 30""", 6)
+def model_scores(read):
+    t = read("lineitem")
+    linear = t.score(t.fit(LinearRegression(), ["l_quantity"], "l_extendedprice"), "l_extendedprice")
+    apart = t.filter(lambda r: (r["l_quantity"] < 21) | (r["l_quantity"] > 30)).each_to("large", lambda r: (r["l_quantity"] > 30).switch(1, 0))
+    logistic = apart.score(apart.fit(LogisticRegression().set_c(1.0), ["l_quantity"], "large"), "large")
+    return Table.from_lists({"model": (TEXT, ["linear", "logistic"]), "score": (REAL, [linear, logistic])}, t._df.sparkSession)
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier")
+def chart_series(read):
+    t = read("supplier")
+    rows = t.series(["s_suppkey", "s_acctbal"])
+    return Table.from_lists({"s_suppkey": (INT, [r[0] for r in rows]), "s_acctbal": (REAL, [r[1] for r in rows])}, t._df.sparkSession)
+
+
+@query("SELECT ts, value FROM events ORDER BY ts LIMIT 50")
+def chart_dates(read):
+    t = read("events").sort("ts").take(50)
+    rows = t.series(["ts", "value"])
+    return Table.from_lists({"ts": (TIME, [r[0] for r in rows]), "value": (REAL, [r[1] for r in rows])}, t._df.sparkSession)
+
+
+_BINNED = "SELECT least({n} - 1, floor(({c} - (SELECT min({c}) FROM {t})) / ((SELECT max({c}) - min({c}) FROM {t}) / {n}))) AS {b}"
+
+
+@query(f"""WITH r AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, count(*) AS n FROM supplier),
+    b AS (SELECT lo + (hi - lo) / 1000 * (b + 0.5) AS m, count(*) AS c FROM ({_BINNED.format(n=1000, c='s_acctbal', t='supplier', b='b')} FROM supplier), r GROUP BY 1),
+    w AS (SELECT lo, hi, n, sqrt(s) * n ** -0.2 AS w FROM r, (SELECT (sum(c * m * m) - sum(c * m) ** 2 / sum(c)) / sum(c) AS s FROM b)),
+    x AS (SELECT lo - 3 * w + (hi - lo + 6 * w) * i / 99 AS x, w, n FROM w, (SELECT unnest(range(100)) AS i))
+    SELECT round(x * 1e3) AS x_thousandths, round(sum(c * exp(-0.5 * ((x - m) / w) ** 2)) / (n * w * sqrt(2 * pi())) * 1e9) AS density_billionths FROM x, b GROUP BY x, w, n""")
+def kde_density(read):
+    t = read("supplier").kde("s_acctbal")
+    return t._with(t._df.select(F.round(F.col("x") * 1e3).alias("x_thousandths"), F.round(F.col("density") * 1e9).alias("density_billionths"), "__rid"), ["x_thousandths", "density_billionths"])
+
+
+_CELL = "least(19, floor(({c} - lo_{k}) / ((hi_{k} - lo_{k}) / 20)))"
+
+
+@query(f"""WITH r AS (SELECT min(p_size) AS lo_a, max(p_size) AS hi_a, min(p_retailprice) AS lo_b, max(p_retailprice) AS hi_b, count(*) AS n FROM part),
+    b AS (SELECT lo_a + (hi_a - lo_a) / 20 * ({_CELL.format(c='p_size', k='a')} + 0.5) AS a, lo_b + (hi_b - lo_b) / 20 * ({_CELL.format(c='p_retailprice', k='b')} + 0.5) AS b FROM part, r),
+    k AS (SELECT r.*, va * f AS va, vb * f AS vb, vab * f AS vab FROM (SELECT var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS vab FROM b), (SELECT *, n ** (-1.0 / 3) AS f FROM r) r),
+    c AS (SELECT a, b, count(*) AS c FROM b GROUP BY ALL),
+    g AS (SELECT *, lo_a - 3 * sqrt(va) + (hi_a - lo_a + 6 * sqrt(va)) * i / 9 AS x, lo_b - 3 * sqrt(vb) + (hi_b - lo_b + 6 * sqrt(vb)) * j / 9 AS y, va * vb - vab * vab AS det
+          FROM k, (SELECT unnest(range(10)) AS i), (SELECT unnest(range(10)) AS j))
+    SELECT round(x * 1e3) AS x_thousandths, round(y * 1e3) AS y_thousandths,
+        round(sum(c * exp(-0.5 * (vb * (x - a) ** 2 - 2 * vab * (x - a) * (y - b) + va * (y - b) ** 2) / det)) / (n * 2 * pi() * sqrt(det)) * 1e9) AS density_billionths
+    FROM g, c GROUP BY x, y, n, det""")
+def kde2_density(read):
+    t = read("part").kde2("p_size", "p_retailprice", 10, 20)
+    rows = t._df.select(F.round(F.col("x") * 1e3).alias("x_thousandths"), F.round(F.col("y") * 1e3).alias("y_thousandths"), F.round(F.col("density") * 1e9).alias("density_billionths"), "__rid")
+    return t._with(rows, ["x_thousandths", "y_thousandths", "density_billionths"])

@@ -1 +1 @@
-"""Operators on tables, each a function from DataFrames to a DataFrame."""
+"""Operators on tables, each a function of Spark tables."""

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import correlation, correlation_sums, hazen, maximum, minimum, real, rsi
+from ..functions.aggregates import correlation, correlation_sums, maximum, minimum, real, rsi
 from ..functions.compile import quoted
 from ..schema import INT, REAL
+from .ranks import quantiles
 
 
 def numeric(kinds: Mapping[str, str], name: str) -> None:
@@ -23,7 +24,6 @@ def statistic(name: str, c: Column) -> Column:
         "min": lambda: minimum(c),
         "max": lambda: maximum(c),
         "mean": lambda: F.avg(real(c)),
-        "median": lambda: F.percentile(real(c), F.lit(0.5)),
         "std dev": lambda: F.stddev_pop(real(c)),
         "variance": lambda: F.var_pop(real(c)),
         "sum": lambda: F.sum(c),
@@ -41,7 +41,8 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     rows = []
     for (i, n), valid in zip(enumerate(names), valid_counts(df, names), strict=True):
         c = quoted(n)
-        cells = [statistic("mean", c), statistic("std dev", c), statistic("min", c), hazen(c, 0.25, valid), statistic("median", c), hazen(c, 0.75, valid), statistic("max", c)]
+        low, median, high = quantiles(df, c, (0.25, 0.5, 0.75), valid)
+        cells = [statistic("mean", c), statistic("std dev", c), statistic("min", c), low, median, high, statistic("max", c)]
         rows.append(F.struct(F.lit(i).alias("__first"), F.lit(n).alias("column"), *[real(x).alias(h) for h, x in zip(heads, cells, strict=True)]))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
@@ -61,5 +62,3 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float]
     sums = [c for i, (a, b) in enumerate(pairs) for c in correlation_sums(quoted(a), quoted(b), f"p{i}")]
     row = df.agg(*sums).first() if sums else None
     return [correlation(f"p{i}", lambda k: row[k]) for i in range(len(pairs))]
-
-

@@ -11,9 +11,11 @@ from ..functions.compile import quoted
 from ..plans.order import BLOCK, RID, checked_broadcast
 from ..schema import INT, REAL, TIME
 
-#: A rolling block covers at least so many intervals, so that few rows are sent to two blocks.
+#: A rolling block covers so many intervals, so that few rows are sent to two blocks, unless that makes more than
+#: BLOCKS of them; but one that would hold over BLOCK_ROWS rows on average is cut down, to one interval at least.
 INTERVALS_A_BLOCK = 8
 BLOCKS = 512
+BLOCK_ROWS = 1 << 18
 
 
 def shift(df: DataFrame, name: str, steps: int, out: str, position: str = "__pos") -> DataFrame:
@@ -93,9 +95,9 @@ def rolling(df: DataFrame, key: str, kind: str, interval: float, columns: Mappin
         raise ValueError("the interval has to be positive")
     number = F.unix_micros(quoted(key).cast("timestamp")) if kind == TIME else quoted(key)
     rows = df.withColumn("__k", number)
-    lo, hi = rows.agg(F.min("__k"), F.max("__k")).first()
+    lo, hi, n = rows.agg(F.min("__k"), F.max("__k"), F.count("__k")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(interval * INTERVALS_A_BLOCK, (hi - lo) / BLOCKS)
+    width = max(interval, min(max(interval * INTERVALS_A_BLOCK, (hi - lo) / BLOCKS), (hi - lo) * BLOCK_ROWS / max(1, n)))
     width = width if kind == REAL else int(width) + 1
     own = F.floor((F.col("__k") - F.lit(lo)) / F.lit(width)).cast("long")
     rows = rows.withColumn("__own", own).withColumn("__from", F.col("__k") - F.lit(lo) - F.col("__own") * F.lit(width))

@@ -45,10 +45,12 @@ def sorts(order: Sequence[Key]) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; an own folder where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share; an own folder where it is unset and all run locally."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     holder = getattr(shared_dir, "holder", None)
     if holder is None:
         holder = shared_dir.holder = tempfile.TemporaryDirectory(prefix="ordina-")
@@ -56,13 +58,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{holder.name}"
 
 
+_STAGED: list[str] = []
+
+
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``clear_stages`` deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so lost executors lose no part of it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = stage_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes the stage tables of this process; call it when all results that read them have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``df`` has at most ``limit`` rows, else ``df`` as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compile import quoted
-from ..plans.order import RID, sorts
+from ..plans.order import RID, checked_broadcast, sorts, stage
 from ..schema import INT, REAL, TEXT, TIME
 
 #: Records that type deduction looks at, the header included.
@@ -24,14 +24,15 @@ class CsvError(ValueError):
     """Text that is not in the dialect."""
 
 
-def records(text: str, separator: str = ",", quote: str = '"') -> Iterator[list[str]]:
+def records(text: str, separator: str = ",", quote: str = '"', first: bool = True) -> Iterator[list[str]]:
     """Cells of each record.
 
     A cell is quoted if its first character is a quote; a doubled quote inside is one quote. What follows a
     closing quote other than a separator or line end begins a new cell, its first character swallowed. Blank
-    lines are records of one empty cell; a line end at the end of the text begins no record.
+    lines are records of one empty cell; a line end at the end of the text begins no record. A byte order mark
+    is left out where the text is the ``first`` of a file.
     """
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("﻿") if first else text
     at, end = 0, len(text)
     plain = re.compile(f"[^{re.escape(separator)}\n]*")
     while at < end:
@@ -148,6 +149,47 @@ def _tokenize(separator: str, quote: str):
     return run
 
 
+def _records_of_lines(separator: str, quote: str):
+    """Cells of lines that are each a record; the line numbered 0 may have a byte order mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            cells = [next(records(t + "\n", separator, quote, i == 0)) for i, t in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cells, pa.list_(pa.string()))], names=[RID, "cells"])
+
+    return run
+
+
+def _is_whole(separator: str, quote: str):
+    """False for lines at whose end a quoted field is open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                try:
+                    for _ in records(text, separator, quote):
+                        pass
+                except CsvError:
+                    yield pa.RecordBatch.from_arrays([pa.array([False])], names=["whole"])
+
+    return run
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(RID, value) of every line: files by name, splits by their start, lines as they come.
+
+    A split's lines are read one after the other by one task, so their ids run without gaps; one count per
+    split gives each its first number.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    lines = stage(lines, "csv-lines")
+    splits = lines.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    splits = checked_broadcast(splits.withColumn("__before", before).drop("__n"))
+    return lines.join(splits, ["__file", "__start"]).select((F.col("__before") + F.col("__at") - F.col("__first")).alias(RID), "value")
+
+
 def frame(cells: DataFrame, header: str | Sequence[str] = "read", types: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Typed columns of (RID, cells): as many as the longest record has, types given or deduced, and their names."""
     width = cells.agg(F.max(F.size("cells"))).first()[0] or 0
@@ -160,9 +202,22 @@ def frame(cells: DataFrame, header: str | Sequence[str] = "read", types: Sequenc
 
 
 def read_file(spark: SparkSession, path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), separator: str = ",", quote: str = '"') -> tuple[DataFrame, list[str]]:
-    """One CSV file in the exact dialect. Quoted line ends make it a single unit of work: one task tokenizes it."""
-    text = spark.read.text(path, wholetext=True)
-    return frame(text.mapInArrow(_tokenize(separator, quote), f"{RID} long, cells array<string>"), header, types)
+    """One CSV file, or a folder of parts that follow each other by name, in the exact dialect.
+
+    Where no line ends within a quoted field, lines are records and are tokenized anywhere: the first line begins
+    outside of quotes, and each that ends outside lets the next begin so. Else, quoted line ends make the file a
+    single unit of work for one task. Cells are staged, so text is tokenized once.
+    """
+    lines = _numbered_lines(spark, path)
+    open_ended = lines.filter(F.contains("value", F.lit(quote))).select("value").mapInArrow(_is_whole(separator, quote), "whole boolean")
+    schema = f"{RID} long, cells array<string>"
+    if open_ended.isEmpty():
+        cells = lines.mapInArrow(_records_of_lines(separator, quote), schema)
+    else:
+        parts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
+        whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("value"))
+        cells = whole.mapInArrow(_tokenize(separator, quote), schema)
+    return frame(stage(cells, "csv-cells"), header, types)
 
 
 def read_text(spark: SparkSession, text: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), separator: str = ",", quote: str = '"') -> tuple[DataFrame, list[str]]:
@@ -170,7 +225,7 @@ def read_text(spark: SparkSession, text: str, header: str | Sequence[str] = "rea
     return frame(spark.createDataFrame(rows, f"{RID} long, cells array<string>"), header, types)
 
 
-def rendered(df: DataFrame, names: Sequence[str], kinds: Sequence[str], quote_all: bool, separator: str = ",") -> Column:
+def rendered(df: DataFrame, names: Sequence[str], kinds: Sequence[str], quote_all: bool, separator: str = ",", quote: str = '"') -> Column:
     """One record as text: doubles with six decimals, timestamps as dates, nulls empty and never quoted."""
     cells = []
     for n, k in zip(names, kinds, strict=True):
@@ -179,20 +234,20 @@ def rendered(df: DataFrame, names: Sequence[str], kinds: Sequence[str], quote_al
             s = F.when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf"))).when(c.isNotNull(), F.format_string("%.6f", c))
         else:
             s = F.date_format(c, "yyyy-MM-dd") if k == TIME else c.cast("string")
-        doubled = F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))
-        needed = F.lit(True) if quote_all else s.rlike(f"\\A[ \\t]|[ \\t]\\z|[{re.escape(separator)}\"\\n]")
+        doubled = F.concat(F.lit(quote), F.replace(s, F.lit(quote), F.lit(2 * quote)), F.lit(quote))
+        needed = F.lit(True) if quote_all else s.rlike(f"\\A[ \\t]|[ \\t]\\z|[{re.escape(separator + quote)}\\n]")
         cells.append(F.coalesce(F.when(needed, doubled).otherwise(s), F.lit("")))
     return F.concat_ws(separator, *cells) if cells else F.lit("")
 
 
-def header_line(names: Sequence[str], quote_all: bool, separator: str = ",") -> str:
-    need = lambda n: quote_all or n[:1] in " \t" or n[-1:] in " \t" or any(x in n for x in (separator, "\n", '"'))
-    return separator.join('"' + n.replace('"', '""') + '"' if n and need(n) else n for n in names)
+def header_line(names: Sequence[str], quote_all: bool, separator: str = ",", quote: str = '"') -> str:
+    need = lambda n: quote_all or n[:1] in " \t" or n[-1:] in " \t" or any(x in n for x in (separator, "\n", quote))
+    return separator.join(quote + n.replace(quote, 2 * quote) + quote if n and need(n) else n for n in names)
 
 
-def lines(df: DataFrame, order, names: Sequence[str], kinds: Sequence[str], header: bool, quote_all: bool, separator: str = ",") -> Iterator[str]:
+def lines(df: DataFrame, order, names: Sequence[str], kinds: Sequence[str], header: bool, quote_all: bool, separator: str = ",", quote: str = '"') -> Iterator[str]:
     """Header and records in row order, fetched partition by partition."""
     if header:
-        yield header_line(names, quote_all, separator)
-    for r in df.orderBy(*sorts(order)).select(rendered(df, names, kinds, quote_all, separator).alias("line")).toLocalIterator():
+        yield header_line(names, quote_all, separator, quote)
+    for r in df.orderBy(*sorts(order)).select(rendered(df, names, kinds, quote_all, separator, quote).alias("line")).toLocalIterator():
         yield r.line

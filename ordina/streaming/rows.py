@@ -1,4 +1,4 @@
-"""The expression language on streaming DataFrames.
+"""The expression language on streaming tables.
 
 Filters and computed columns look at one row only, so they mean the same on a stream as on a table. Operators
 that depend on the order of all rows (sorting, shifting, interpolation) have no meaning there. Groups are kept

@@ -14,20 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.aggregates import Aggregate, gain, hazen, loss
+from .functions.aggregates import Aggregate, gain, loss
 from .functions.compile import compile_predicate, compile_value, ieee_divide, present, quoted
 from .functions.expr import Source, build_predicate, build_value
 from .operators import charts, group, learn, nulls, reshape, stats, timeseries
-from .plans.order import RID, ROW_ORDER, Key, assign, dense, from_sorted, sorts
+from .operators.ranks import quantiles
+from .plans.order import RID, ROW_ORDER, Key, assign, dense, from_sorted, sorts, stage
 from .schema import INT, LIST, REAL, TEXT, TIME, Field, Schema, kind_of, spark_type
 from .session import session
-from .sources import csv, xlsx
+from .sources import csv, files, xlsx
 
 ASCENDING, DESCENDING = "ascending", "descending"
 NULLS_BEFORE, NULLS_AFTER = "before", "after"
 
 #: Rows that go to the driver at most where a call returns Python values of a whole table or column.
 MOST_LOCAL_ROWS = 10_000_000
+#: Leading rows up to which a slice is a top-n, which ends in one task; longer ones are cut by position.
+MOST_TOP_ROWS = 100_000
 
 
 def _widened(df: DataFrame) -> list[SparkColumn]:
@@ -59,14 +62,14 @@ class Table:
 
     @staticmethod
     def from_df(df: DataFrame, order_by: Sequence[str] | None = None) -> Table:
-        """A table of a DataFrame, its order given by columns that identify a row; without them, that of a file
-        scan, or of a single pass over the partitions where ``df`` is no scan."""
+        """A table of a DataFrame, its order given by columns that identify a row; without them, that of one pass over
+        its partitions, which is staged, as a second evaluation of ``df`` could number its rows otherwise."""
         names = df.columns
         wide = _widened(df)
         if order_by:
             keys = [Key(f"__k{i}") for i in range(len(order_by))]
             return Table(df.select(*wide, *[quoted(c).alias(k.column) for c, k in zip(order_by, keys, strict=True)]), names, keys)
-        return Table(df.select(*wide, F.monotonically_increasing_id().alias(RID)), names)
+        return Table(stage(df.select(*wide, F.monotonically_increasing_id().alias(RID)), "rows"), names)
 
     @staticmethod
     def read_parquet(path: str, spark: SparkSession | None = None) -> Table:
@@ -77,26 +80,19 @@ class Table:
         return Table(rows.select(*_widened(rows.select(*map(quoted, names))), RID), names, numbered=True)
 
     @staticmethod
-    def read_csv(path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None) -> Table:
-        """One CSV file; reads it to deduce types (see ``sources.csv``)."""
-        return Table(*csv.read_file(spark or session(), path, header, types), numbered=True)
+    def read_csv(path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None, separator: str = ",", quote: str = '"') -> Table:
+        """One CSV file, or a folder of parts of one; reads it to deduce types (see ``sources.csv``)."""
+        return Table(*csv.read_file(spark or session(), path, header, types, separator, quote), numbered=True)
 
     @staticmethod
-    def parse_csv(text: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None) -> Table:
-        return Table(*csv.read_text(spark or session(), text, header, types), numbered=True)
-
-    @staticmethod
-    def _bytes(spark: SparkSession, path: str) -> bytes:
-        found = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-        if not found:
-            raise FileNotFoundError(path)
-        return bytes(found[0].content)
+    def parse_csv(text: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None, separator: str = ",", quote: str = '"') -> Table:
+        return Table(*csv.read_text(spark or session(), text, header, types, separator, quote), numbered=True)
 
     @staticmethod
     def read_xlsx(path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), spark: SparkSession | None = None) -> Table:
         """The active sheet of a workbook. Columns without a given type are text, "" where blank."""
         spark = spark or session()
-        rows = xlsx.read_cells(Table._bytes(spark, path))
+        rows = xlsx.read_cells(files.content(spark, path))
         width = max(map(len, rows), default=0)
         first = ["" if x is None else str(x) for x in rows[0]] if rows and header == "read" else None
         names = csv.unique_names(csv.header_names(header, first, width))
@@ -112,7 +108,7 @@ class Table:
         from pyarrow import feather
 
         spark = spark or session()
-        found = feather.read_table(pa.BufferReader(Table._bytes(spark, path)))
+        found = feather.read_table(pa.BufferReader(files.content(spark, path)))
         found = found.append_column(RID, pa.array(range(found.num_rows), pa.int64()))
         df = spark.createDataFrame(found)
         names = [c for c in df.columns if c != RID]
@@ -120,15 +116,21 @@ class Table:
 
     @staticmethod
     def read(path: str, spark: SparkSession | None = None) -> Table:
-        """Tries the formats whose signature the file has (XLSX, Feather), then Parquet, then CSV."""
+        """By signature: XLSX, Feather or Parquet; else CSV, which a file that only begins as XLSX or Feather is too.
+
+        Only the first bytes are looked at; a folder has the signature of its first file. A damaged Parquet file is
+        an error.
+        """
         spark = spark or session()
-        head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 6).alias("h")).first().h)
-        for signature, reader in ((b"PK\x03\x04", Table.read_xlsx), (b"FEA1", Table.read_feather), (b"ARROW1", Table.read_feather), (b"PAR1", Table.read_parquet)):
+        head = files.head(spark, path, 8)
+        if head.startswith(b"PAR1"):
+            return Table.read_parquet(path, spark)
+        for signature, reader in ((b"PK\x03\x04", Table.read_xlsx), (b"FEA1", Table.read_feather), (b"ARROW1", Table.read_feather)):
             if head.startswith(signature):
                 try:
                     return reader(path, spark=spark)
-                except Exception:  # noqa: BLE001  the next format gets its turn
-                    continue
+                except Exception:  # noqa: BLE001  text may begin with these letters: the next format gets its turn
+                    break
         return Table.read_csv(path, spark=spark)
 
     @staticmethod
@@ -272,33 +274,40 @@ class Table:
 
     # Sinks.
 
-    def csv_lines(self, header: bool = True, quote_all: bool = False) -> Iterator[str]:
-        return csv.lines(self._df, self._order, self._names, [self.kinds[n] for n in self._names], header, quote_all)
+    def csv_lines(self, header: bool = True, quote_all: bool = False, separator: str = ",", quote: str = '"') -> Iterator[str]:
+        return csv.lines(self._df, self._order, self._names, [self.kinds[n] for n in self._names], header, quote_all, separator, quote)
 
-    def to_csv(self, header: bool = True, quote_all: bool = False) -> str:
-        return "\n".join(self.csv_lines(header, quote_all))
+    def to_csv(self, header: bool = True, quote_all: bool = False, separator: str = ",", quote: str = '"') -> str:
+        return "\n".join(self.csv_lines(header, quote_all, separator, quote))
 
-    def write_csv(self, path: str, header: bool = True, quote_all: bool = False) -> None:
+    def write_csv(self, path: str, header: bool = True, quote_all: bool = False, separator: str = ",", quote: str = '"') -> None:
         """One local file, records joined by line ends."""
         with open(path, "w", encoding="utf-8", newline="") as out:
-            for i, line in enumerate(self.csv_lines(header, quote_all)):
+            for i, line in enumerate(self.csv_lines(header, quote_all, separator, quote)):
                 out.write(("\n" if i else "") + line)
 
-    def write_csv_parts(self, path: str, header: bool = True, quote_all: bool = False) -> None:
-        """A folder of part files in row order, written by the executors: for tables that no driver should hold."""
-        kinds = [self.kinds[n] for n in self._names]
-        ordered = self._df.orderBy(*sorts(self._order)).select(*map(quoted, self._names))
-        cells = [F.date_format(quoted(n), "yyyy-MM-dd").alias(n) if k == TIME else quoted(n) for n, k in zip(self._names, kinds, strict=True)]
-        ordered.select(*cells).write.csv(path, header=header, quoteAll=quote_all, escape='"', emptyValue="")
+    def write_csv_parts(self, path: str, header: bool = True, quote_all: bool = False, separator: str = ",", quote: str = '"') -> None:
+        """A folder of part files, written by the executors: for tables that no driver should hold.
+
+        In order of their names the parts are the text of ``write_csv``; only the first one has the header.
+        """
+        rows = self._df.orderBy(*sorts(self._order)).select(csv.rendered(self._df, self._names, [self.kinds[n] for n in self._names], quote_all, separator, quote).alias("value"))
+        if header:
+            head = self._df.sparkSession.createDataFrame([(csv.header_line(self._names, quote_all, separator, quote),)], "value string")
+            rows = head.coalesce(1).unionByName(rows)
+        rows.write.option("lineSep", "\n").text(path)
 
     def write_xlsx(self, path: str, header: bool = True) -> None:
-        with open(path, "wb") as out:
-            out.write(xlsx.workbook(self._names if header else None, self.to_list()))
+        files.store(self._df.sparkSession, path, xlsx.workbook(self._names if header else None, self.to_list()))
 
     def write_feather(self, path: str) -> None:
+        import io
+
         from pyarrow import feather
 
-        feather.write_feather(self.df.toArrow(), path)
+        out = io.BytesIO()
+        feather.write_feather(self.df.toArrow(), out)
+        files.store(self._df.sparkSession, path, out.getvalue())
 
     def write_parquet(self, path: str) -> None:
         """A folder of part files in row order."""
@@ -463,7 +472,7 @@ class Table:
         total = self.row_count
         if count < 0 or not 0 <= begin <= total or begin + count > total:
             raise IndexError(f"rows {begin}..{begin + count} are outside 0..{total}")
-        if begin == 0:
+        if begin == 0 and count <= MOST_TOP_ROWS:
             return self._with(self._df.orderBy(*sorts(self._order)).limit(count))
         rows = self._numbered().filter(F.col("__pos").between(begin, begin + count - 1))
         return Table(rows.drop(RID, *[k.column for k in self._order]).withColumnRenamed("__pos", RID), self._names)
@@ -630,6 +639,13 @@ class Table:
         made = charts.kde(self._df, name, points)
         return Table.from_lists({"x": (REAL, [x for x, _ in made]), "density": (REAL, [y for _, y in made])}, self._df.sparkSession)
 
+    def kde2(self, x: str, y: str, points: int = 50, bins: int = 100) -> Table:
+        """x, y, density of two numeric columns on a grid."""
+        for n in (x, y):
+            stats.numeric(self.kinds, self._check(n))
+        made = charts.kde2(self._df, x, y, points, bins)
+        return Table.from_lists({n: (REAL, [r[i] for r in made]) for i, n in enumerate(("x", "y", "density"))}, self._df.sparkSession)
+
     def series(self, names: Sequence[str], most: int = 10_000) -> list[tuple]:
         """Rows of the columns for a line, scatter or area chart: all, or a sample of about ``most``."""
         return [tuple(r) for r in charts.series(self._df, [self._check(n) for n in names], sorts(self._order), most).collect()]
@@ -771,26 +787,24 @@ class Column:
     def count_values(self) -> Table:
         return self.to_table().count_values(self.name)
 
-    def _stat(self, name: str, q: float | None = None) -> SparkColumn:
+    def _described(self, wanted: Sequence[tuple[str, float | None]]) -> Table:
+        """One row of statistics; quantiles and the median count the values first."""
         if not self.is_numeric:
             raise TypeError(f"column '{self.name}' of type {self.kind} has no statistics")
-        if q is None:
-            return stats.statistic(name, quoted("c")).alias(name)
-        rows = self.table._df.select(self.expr.alias("c"))
-        return hazen(quoted("c"), q, stats.valid_counts(rows, ["c"])[0]).alias(f"quantile {q:f}")
-
-    def _described(self, wanted: Sequence[tuple[str, float | None]]) -> Table:
-        made = [self._stat(n, q) for n, q in wanted]
+        rows, c = self.table._df.select(self.expr.alias("c")), quoted("c")
+        shares = [0.5 if n == "median" else q for n, q in wanted if n == "median" or q is not None]
+        ranked = iter(quantiles(rows, c, shares, stats.valid_counts(rows, ["c"])[0]) if shares else ())
         names = [n if q is None else f"quantile {q:f}" for n, q in wanted]
-        rows = self.table._df.select(self.expr.alias("c")).agg(*made)
-        return Table(rows.withColumn(RID, F.lit(0).cast("long")), names)
+        made = [(next(ranked) if n == "median" or q is not None else stats.statistic(n, c)).alias(name) for (n, q), name in zip(wanted, names, strict=True)]
+        return Table(rows.agg(*made).withColumn(RID, F.lit(0).cast("long")), names)
 
     def stat(self, name: str) -> Column:
         """min, max, mean, median, std dev, variance, sum or RSI as a column of one row."""
         return self._described([(name, None)]).to_column()
 
     def quantile(self, q: float) -> Column:
-        """Hazen's quantile as a column of one row; counts the values first."""
+        """Hazen's quantile as a column of one row; counts the values first, and beyond ranks.AT_ONCE of them narrows
+        the quantile's bracket in a few passes."""
         return self._described([("quantile", q)]).to_column()
 
     def value(self, name: str) -> Any:

@@ -61,7 +61,48 @@ def test_round_trips(spark, table, tmp_path):
     with pytest.raises(ValueError):
         table.write(str(tmp_path / "x.doc"))
     table.write_csv_parts(str(tmp_path / "parts"))
-    assert spark.read.csv(str(tmp_path / "parts"), header=True).count() == 3
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in parts) == table.to_csv() + "\n"
+    assert Table.read(str(tmp_path / "parts"), spark=spark).to_list() == table.to_list()
+
+
+def test_csv_options(spark, table, tmp_path):
+    path = str(tmp_path / "x.csv")
+    table.write_csv(path, separator=";", quote="'")
+    assert table.to_csv(separator=";", quote="'").split("\n")[1] == "1;8.500000;q\"x;2018-09-01"
+    assert Table.read_csv(path, separator=";", quote="'", spark=spark).to_list() == table.to_list()
+    assert Table.parse_csv("a;b\n'x;''y';2", separator=";", quote="'", spark=spark).to_list() == [("x;'y", 2)]
+
+
+def test_lines_and_quoted_line_ends(spark, tmp_path):
+    """Files are tokenized line by line only where no quoted field holds a line end; both give what the text gives."""
+    many = "\ufeffi,s\n" + "".join(f'{i},"q ""{i}"""\r\n' if i % 3 else f"{i},x\"y\n" for i in range(5000)) + "\n7,last"
+    open_ended = 'i,s\n1,"a\nb"\n2,c\n'
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for k, text in enumerate((many, open_ended, "", "i\n", "i,s\n\n")):
+            path = tmp_path / f"{k}.csv"
+            path.write_text(text, newline="")
+            want = Table.parse_csv(text, spark=spark)
+            got = Table.read(str(path), spark=spark)
+            assert got.column_names == want.column_names and got.to_list() == want.to_list(), k
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_read_sniffs_and_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("PK\x03\x04,b\n1,2\n")
+    assert Table.read(str(tmp_path / "a.csv"), spark=spark).to_list() == [(1, 2)]
+    (tmp_path / "b.parquet").write_bytes(b"PAR1 damaged")
+    with pytest.raises(Exception):
+        Table.read(str(tmp_path / "b.parquet"), spark=spark)
+    with pytest.raises(FileNotFoundError):
+        Table.read(str(tmp_path / "none"), spark=spark)
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "c"))
+    assert Table.read(str(tmp_path / "c"), spark=spark).to_columns() == {"id": [0, 1, 2, 3, 4]}
+    spark.range(3).coalesce(1).selectExpr("id AS x").write.parquet(f"file:{tmp_path}/d")
+    Table.read_parquet(f"{tmp_path}/d", spark).write_feather(f"file:{tmp_path}/d.feather")
+    assert Table.read(f"{tmp_path}/d.feather", spark=spark).to_columns() == {"x": [0, 1, 2]}
 
 
 def test_parquet_order_over_files(spark, tmp_path):

@@ -317,3 +317,51 @@ def test_builders_and_charts(spark):
     step = made["x"][1] - made["x"][0]
     assert sum(made["density"]) * step == pytest.approx(1, abs=0.01)
     assert len(t.series(["v"])) == 200 and len(t.series(["v"], 50)) < 120
+    with_null = Table.from_lists({"v": (REAL, [0, 1, 2, N, 5]), "u": (REAL, [1, 0, N, 2, 2])}, spark)
+    made = with_null.kde2("v", "u", 60).to_columns()
+    area = (made["x"][60] - made["x"][0]) * (made["y"][1] - made["y"][0])
+    assert sum(made["density"]) * area == pytest.approx(1, abs=0.02) and with_null.filter(lambda r: r["v"] > 9).kde2("v", "u").row_count == 0
+
+
+def test_ranks_of_large_columns(spark):
+    """Narrowed brackets give the value of each rank: ties, NaN, few and many values left at the end."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ordina.operators import ranks
+
+    rng = random.Random(7)
+    for values in ([rng.random() for _ in range(3000)], [rng.choice([1.0, 1.0, 2.0, 7.5]) for _ in range(3000)], [5.0] * 500, [math.nan, -1.0, 0.0] * 50 + [None] * 9, list(map(float, range(20)))):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        want = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+        places = sorted({0, len(want) - 1, len(want) // 2, len(want) // 3, 1})
+        for few, accuracy in ((10, 20), (2, 100), (100_000, 100)):
+            made = ranks.values_at(df, F.col("x"), places, few, accuracy)
+            assert all(made[p] == want[p] or made[p] != made[p] and want[p] != want[p] for p in places)
+
+
+def test_quantiles_do_not_depend_on_the_way(spark, monkeypatch):
+    from ordina.operators import ranks
+
+    rows = Table.from_lists({"x": (REAL, [float((i * 37) % 101) for i in range(101)] + [N]), "y": (INT, [i * i for i in range(102)])}, spark)
+    made = lambda: (rows.describe().to_list(), rows.describe_column("x").to_list(), rows.column("y").median_value(), rows.column("x").quantile(0.3).to_list())
+    at_once = made()
+    monkeypatch.setattr(ranks, "AT_ONCE", 5)
+    assert made() == at_once
+
+
+def test_long_slices_go_by_position(spark, monkeypatch):
+    from ordina import table
+
+    rows = ints(spark, x=list(range(100))).filter(lambda r: r["x"] % 3 == 0).sort_descending("x")
+    top = rows.take(20).to_list()
+    monkeypatch.setattr(table, "MOST_TOP_ROWS", 5)
+    assert rows.take(20).to_list() == top and len(top) == 20
+
+
+def test_rows_of_a_query_keep_their_numbers(spark):
+    """A table of a shuffled query has one order, however often it is evaluated."""
+    df = spark.range(2000).repartition(7).selectExpr("id AS x", "rand() AS r")
+    t = Table.from_df(df)
+    assert t == t and t.shift("x", 1).to_columns()["x_shift_1"][1:] == t.to_columns()["x"][:-1]
