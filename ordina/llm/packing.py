@@ -86,10 +86,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequence
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then DOCUMENT_END; it is cut at multiples of ``sequence`` only, so all but
-    its last piece fill a sequence alone. Pieces are dealt by a seeded hash into groups of about
-    ``group_pieces`` and packed there, each group by itself, so no task grows with the input.
+    its last piece fill a sequence alone. Pieces are numbered once, in a stage table, and dealt by a seeded hash of
+    that number into groups of about ``group_pieces``, each packed by itself, so no task grows with the input, even
+    where all rows share one id.
 
     * null or empty text is a document of one id; repeated rows are separate documents;
+    * an added token of the vocabulary that stands in a text is that token's id;
     * null doc_id is carried through; an empty table gives an empty result; other columns are not read;
     * very long texts give many pieces, which the hash spreads over all groups.
     """
@@ -98,5 +100,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequence
     pieces = common.stage(pieces, "pack-pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     tie = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")
-    dealt = pieces.withColumn("tie", tie).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("doc_id", -F.col("uid")), "start"), F.lit(groups)))
+    dealt = pieces.withColumn("tie", tie).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + 1), "uid"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack(sequence), PACKED)
