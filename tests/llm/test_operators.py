@@ -35,7 +35,7 @@ def corpus():
             texts.append(" ".join(base).upper())
         if i % 7 == 0:
             texts.append(" ".join(words(rng, 30)) + "\n" + passage + "\t" + " ".join(words(rng, 20)))
-    texts += ["", None, "   ", "one", "one two", "a  b   c\n\n d ", "Ünï cödé x ÄÖ", "x" * 5000, "spam ham " * 400, " ".join(words(rng, 20000, 5000)), "tab\x0b\x0cfeed"]
+    texts += ["", None, "   ", "one", "one two", "a  b   c\n\n d ", "Ünï cödé x ÄÖ", "x" * 5000, "spam ham " * 400, " ".join(words(rng, 20000, 5000)), "tab\x0b\x0cfeed", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|><|endoftext|>c <|endof text|>"]
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     return rows
@@ -232,12 +232,89 @@ def test_sketched_limits_decide(spark):
     assert all(r.kept for i, r in made.items() if i > 3)
 
 
+def exact_limits(table, slack):
+    """ratio -> (lang, source) -> limit by sorted values, each quartile moved by ``slack`` of the ranks."""
+    def value(m, top, bottom, unit):
+        return (m[top] + unit) / (m[bottom] + 2 * unit) if unit else m[top] / m[bottom] if m[bottom] else 0.0
+
+    out = {}
+    for ratio, (top, bottom, unit) in quality_rules.RATIOS.items():
+        groups = defaultdict(list)
+        for m in table:
+            for key in ((m["lang"], m["source"]), (m["lang"],), ()):
+                groups[key] += [] if m["failed"] else [value(m, top, bottom, unit)]
+
+        def quartile(key, p, ratio_groups=groups):
+            own = sorted(ratio_groups[key])
+            return own[min(len(own) - 1, max(0, math.ceil(p * len(own)) - 1))] if own else 0.0
+
+        width = lambda key: quartile(key, 0.75 - slack) - quartile(key, 0.25 + slack)
+        shrunk = lambda own, n, parent: (n * own + quality_rules.PRIOR_ROWS * parent) / (n + quality_rules.PRIOR_ROWS)
+        pairs = [g for g in groups if len(g) == 2]
+
+        def high(key):
+            own = quartile(key, 0.75 - slack)
+            return shrunk(own, len(groups[key]), high(key[:-1])) if key else own
+
+        def mean(key):
+            below = [g for g in pairs if g[: len(key)] == key]
+            n = sum(len(groups[g]) for g in below)
+            return shrunk(sum(len(groups[g]) * width(g) for g in below) / max(1, n), n, mean(key[:-1]) if key else width(key))
+
+        for key in pairs:
+            out[ratio, key] = high(key) + quality_rules.SPREAD * max(width(key), mean(key[:1]))
+    return out
+
+
+def test_limits_against_exact_quantiles(spark):
+    """Each limit lies between those of quartiles a few ranks nearer together and farther apart, and kept follows it."""
+    rng = random.Random(31)
+    marks = lambda w: w + rng.choice(["", "", "", "!", "#", "*"]) if rng.random() < 0.2 else w
+    rows = []
+    for i in range(1500):
+        lines = [" ".join(marks(w if rng.random() < 0.8 else w.title()) for w in words(rng, rng.randint(2, 30))) for _ in range(rng.randint(1, 8))]
+        rows.append((i, "\n".join(lines + (lines[:1] if rng.random() < 0.1 else [])), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None]), 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    table = [{**made[i].asDict(), "lang": lang or "\x00", "source": source or "\x00", "failed": made[i].base_failed} for i, _, lang, source, _ in rows]
+    near, far = exact_limits(table, 0.03), exact_limits(table, -0.03)
+    verdicts = Counter()
+    for m in table:
+        for ratio, (top, bottom, _) in quality_rules.RATIOS.items():
+            value, key = m[top] / m[bottom] if m[bottom] else 0.0, (ratio, (m["lang"], m["source"]))
+            assert near[key] <= far[key]
+            if not near[key] <= value <= far[key]:
+                assert (ratio in m["broken"]) == (value > far[key])
+                verdicts[ratio in m["broken"]] += 1
+        assert m["kept"] == (not m["base_failed"] and not m["broken"])
+    assert verdicts[True] > 5 and verdicts[False] > 5000
+
+
+def test_copies_do_not_narrow_limits(spark):
+    """A source of near copies leaves no spread; clean documents in it are judged by what is usual elsewhere."""
+    rng = random.Random(17)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 200)))
+    one = text().split()
+    near = lambda i: " ".join([*one[: i % 40], "changed", *one[i % 40 :]])
+    rows = [(i, near(i) if i % 20 else text(), "hot") for i in range(600)] + [(1000 + i, text(), f"s{i % 4}") for i in range(600)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made = [r.kept for r in quality_rules.judge(df).collect()]
+    assert sum(made) >= 0.99 * len(made)
+
+
+def test_quality_keeps_odd_rows(spark):
+    """Rows without an id, with a repeated one, and columns of any name: each row is judged by itself."""
+    good, bad = "a row of more than ten words that are all different from each other here", "too few"
+    df = spark.createDataFrame([(None, good, "en", "s", 1, 2), (7, good, None, None, 3, 4), (7, bad, "en", "s", 5, 6), (None, bad, "en", "s", 7, 8)], "doc_id long, text string, lang string, source string, carried int, kept int")
+    made = quality_rules.keep_good(df)
+    assert made.columns == df.columns and sorted(r.carried for r in made.collect()) == [1, 3]
+
+
 def test_packing(docs, rows, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     made = packing.pack(docs, sequence=64).collect()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in made:
@@ -261,6 +338,18 @@ def test_packing(docs, rows, odd):
     assert packing.pack(odd).count() == 8
 
 
+def test_packing_deals_out_repeated_ids(spark):
+    """Rows that share an id are dealt into several groups, and fill their sequences."""
+    rng = random.Random(21)
+    texts = [(5, " ".join(words(rng, rng.randrange(1, 40)))) for _ in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    made = packing.pack(df, sequence=64, group_pieces=250).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in made)
+    assert len(sizes) == -(-len(made) // 250) and max(sizes.values()) < 400
+    total = sum(r.length for r in made)
+    assert total == sum(r.doc_tokens for r in made if r.start == 0) and total / 64 / len({r.sequence_id for r in made}) > 0.97
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     lengths = [rng.randint(1, 100) for _ in range(500)]
@@ -330,7 +419,6 @@ def test_mixing_counts_real_tokens(docs, rows, spark):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     size = lambda text: len(t.encode(text or "", add_special_tokens=False).ids)
     levels = {"lang": "lang", "source": "source"}
     assert {r.doc_id: r.tokens for r in mixing.mix(docs, levels, {}).collect()} == {i: size(text) for i, text in rows}
