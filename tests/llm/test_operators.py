@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -473,10 +474,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 def test_html(spark):
     want = "Head line\n\nOne <two> three.\n\nFour five six.\n\nSeven é.\n\neight"
     weights = html_extract.fit([PAGE] * 3)
-    assert html_extract.extract(PAGE, weights) == want and html_extract.extract(PAGE, {}) == want
-    assert html_extract.extract(None, {}) == html_extract.extract("<p></p>", {}) == ""
-    assert html_extract.extract("plain &amp; simple", {}) == "plain & simple"
-    assert html_extract.extract("<p>open <!-- never closed", {}) == "open"
+    assert html_extract.extract(PAGE, weights) == want and html_extract.extract(PAGE, html_extract.Weights()) == want
+    assert html_extract.extract(None, weights) == html_extract.extract("<p></p>", weights) == ""
+    assert html_extract.extract("plain &amp; simple", weights) == "plain & simple"
+    assert html_extract.extract("<p>open <!-- never closed", weights) == "open"
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (3, "u", "", 3), (3, "u", "", 3), (4, "u", "<p>" + "long text " * 20000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     made = html_extract.extract_pages(pages).collect()
@@ -485,7 +486,7 @@ def test_html(spark):
 
 
 def test_html_elements():
-    text = lambda page: html_extract.extract(page, {})
+    text = lambda page: html_extract.extract(page, html_extract.Weights())
     assert text("<div class='content with-sidebar'><p>One</p><div class='overflow-hidden'>Two</div><div hidden>Three</div></div>") == "One\n\nTwo"
     assert text("<article class='post legal'><header class='entry-header'><h1>Title</h1></header><p>Text</p></article><article class='comment'>No</article>") == "Title\n\nText"
     assert text("<div id='userComments'>No</div><p>Yes</p><div style='display: none'>No</div>") == "Yes"
@@ -494,7 +495,7 @@ def test_html_elements():
 
 
 def test_html_head_left_open():
-    text = lambda page: html_extract.extract(page, {})
+    text = lambda page: html_extract.extract(page, html_extract.Weights())
     head = "<html><head><meta charset=x><title>T</title><script>var a = '<body>';</script>"
     for page in (head + "<body><p>One</p><p>Two</p></body>", head + "<p>One</p><p>Two</p>", head + "</head><body><p>One</p><p>Two</p></body>"):
         assert text(page) == "One\n\nTwo"
@@ -504,10 +505,45 @@ def test_html_region():
     """Without telling elements, the run of words wins over runs of links."""
     links = "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(20))
     text = "".join(f"<div>{'word ' * 30}end{i}</div>" for i in range(5))
-    weights = {"a": -3.0, "/a": -3.0}
+    weights = html_extract.Weights({"a": -3.0, "/a": -3.0})
     assert html_extract.extract(links + text + links, weights).startswith("word") and html_extract.extract(links + text + links, weights).endswith("end4")
 
 
+def test_best_run():
+    """The scan against every run of blocks."""
+    rng = random.Random(15)
+    for _ in range(400):
+        scores = [(rng.choice([0, 0, -1, -3, -20]), rng.choice([1, 2, 5, 30, -2])) for _ in range(rng.randint(0, 12))]
+        total = lambda i, j: sum(b + s for b, s in scores[i:j]) - scores[i][0]
+        top = max((total(i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        first, end = html_extract.best_run(scores)
+        assert (total(first, end) if end else 0) == max(0, top)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_scan_decides(spark):
+    """On whole pages, learned weights choose the region: without holes the text is the same, without weights it is not."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html_extract.learn(pages)
+    assert {"div.ad", "nav", "footer"} <= weights.far and "p" not in weights.far and weights == html_extract.learn(pages.repartition(5).unionByName(pages))
+    all_pages = [r.html for r in pages.collect()]
+    whole = [html_extract.extract(h, weights, holes=False) for h in all_pages]
+    assert whole == [html_extract.extract(h, weights) for h in all_pages]
+    assert sum(a != html_extract.extract(h, html_extract.Weights(), holes=False) for a, h in zip(whole, all_pages, strict=True)) > 0.9 * len(all_pages)
+    for text, h in zip(whole, all_pages, strict=True):
+        article = html_extract.extract(h[h.index("<article") : h.index("</article>")], html_extract.Weights(), holes=False)
+        assert text == article
+
+
+def test_html_repeated_and_long_labelled_pages(spark):
+    """Copies of a labelled page teach once, and long ones teach too; a table without labelled pages has the prior."""
+    long = PAGE.replace("<li>eight</li>", "<li>eight</li>" + "<p>" + "word " * 20_000)
+    df = spark.createDataFrame([(1, "u", PAGE)] * 50 + [(1, "u", long), (None, None, "<p>a</p>")], "page_id long, url string, html string")
+    made, want = html_extract.learn(df), html_extract.fit([PAGE, long])
+    assert made.tags == pytest.approx(want.tags, abs=0.2) and made.far == want.far
+    assert html_extract.learn(df.filter("html = '<p>a</p>'")).tags == html_extract.PRIOR
+
+
 def test_licenses(spark):
     files = [
         ("LICENSE", "Apache License\nVersion 2.0, January 2004\nApache License Version 2.0, January 2004", 1),
