@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ VOCABULARY = "byte_bpe_50k"
 #: Trie nodes and cached units of one worker; both start anew beyond.
 NODES = 1_500_000
 UNITS = 400_000
+#: Bytes of a pre-token from which it is scored by itself, and characters from which a unit is not cached.
+LONG = 4096
+CACHED = 64
 
 
 def unigram(vocabulary: str = VOCABULARY) -> dict[bytes, float]:
@@ -41,6 +45,10 @@ class Trie:
 
     def count(self, token: bytes) -> int:
         """Pieces of the best segmentation; of equally good ones, that with the longer last piece at each step."""
+        if len(token) > LONG:
+            return self.alone(token)
+        if len(self.best) > NODES:
+            self.clear()
         child, best, pieces, get = self.child, self.best, self.pieces, self.scores.get
         node, path = 0, [0]
         for j, byte in enumerate(token, 1):
@@ -60,6 +68,20 @@ class Trie:
         return pieces[node]
 
 
+    def alone(self, token: bytes) -> int:
+        """As ``count``, with the scores of the last ``longest`` prefixes only: the trie does not grow by a long token."""
+        last: deque[tuple[float, int]] = deque([(0.0, 0)], self.longest)
+        get = self.scores.get
+        for j in range(1, len(token) + 1):
+            top, least = -math.inf, 0
+            for i, (score, pieces) in enumerate(last, j - len(last)):
+                s = get(token[i:j])
+                if s is not None and score + s > top:
+                    top, least = score + s, pieces + 1
+            last.append((top, least))
+        return last[-1][1]
+
+
 class Counter:
     """(pieces, pre-tokens) of whole texts, by way of distinct units: a word and the space before it."""
 
@@ -67,21 +89,20 @@ class Counter:
         import public_tokenizers
         import regex
 
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = regex.compile(public_tokenizers.PATTERN).finditer
         self.trie = Trie(unigram(vocabulary))
         self.units: dict[str, tuple[int, int]] = {}
 
     def unit(self, unit: str) -> tuple[int, int]:
-        found = self.split(unit)
-        return sum(self.trie.count(t.encode()) for t in found), len(found)
+        pieces = tokens = 0
+        for found in self.split(unit):
+            pieces += self.trie.count(found[0].encode())
+            tokens += 1
+        return pieces, tokens
 
     def count(self, text: str) -> tuple[int, int]:
         if not text:
             return 0, 0
-        if len(self.trie.best) > NODES:
-            self.trie.clear()
-        if len(self.units) > UNITS:
-            self.units.clear()
         head, *units = text.split(" ")
         if text[0].isspace() or "" in units or any(u[0].isspace() for u in units):
             return self.unit(text)
@@ -90,7 +111,11 @@ class Counter:
         for u in units:
             got = known.get(u)
             if got is None:
-                got = known[u] = self.unit(" " + u)
+                got = self.unit(" " + u)
+                if len(u) < CACHED:
+                    if len(known) >= UNITS:
+                        known.clear()
+                    known[u] = got
             pieces += got[0]
             tokens += got[1]
         return pieces, tokens
@@ -116,7 +141,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Pre-tokens are those of the vocabulary's pattern; a pre-token counts as many tokens as the best path of
     the unigram model has pieces. Each worker keeps one trie, in which a prefix that pre-tokens share is scored
-    once; nothing is shuffled, and the trie starts anew at a bound, so memory does not grow with the input.
+    once; nothing is shuffled. Trie and cache start anew at a bound, also within a text, and a pre-token of over LONG
+    bytes stays out of them, so memory does not grow with the input.
 
     * null or empty text has no tokens; null ids and repeated rows are carried through;
     * an empty table gives an empty result; other columns are not read.
