@@ -77,6 +77,21 @@ def split_hot(right: DataFrame, n: str, total: int) -> tuple[DataFrame, DataFram
     return right.filter(is_hot), right.filter(~is_hot)
 
 
+#: Narrow rows up to which a table is broadcast once it has been counted; beyond, it meets others by a shuffled join.
+FEW_ROWS = 1_000_000
+
+
+def few(df: DataFrame, most: int | None = None) -> bool:
+    """Whether ``df``, a stage table of narrow rows, is small enough to be broadcast."""
+    most = FEW_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows as one column ``row``, so that no name of theirs meets another one, and ``more`` columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """Joins ``left`` with narrow rows of ``right`` (one a key), without sending a hot key to one task.
 

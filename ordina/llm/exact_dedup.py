@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def _digests(norm: Column) -> tuple[Column, Column]:
+    return F.unhex(F.md5(norm)), F.sha2(norm, 256)
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Column, list[str]]:
+    """(tied, groups, third digest, key): ids of each text with the times that they have it; per text keep_id, keep_times
+    and group_size; and what tells collided texts apart. The key of a text is (h, text_sha256, more).
+
+    The hashes alone are grouped, so
+    a hot text is one row per map task. Then bytes are compared: the least and the largest text of each hash that
+    several rows share have to be the same. That is a partial aggregate too: a task sends two texts of a group at
+    most, however many copies it holds, and texts that nothing shares a hash with are not compared.
+    """
+    norm = common.ascii_lower(F.col(text_col))
+    h, sha = _digests(norm)
+    key = ["h", "text_sha256", "more"]
+    base = df.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"), h.alias("h"), sha.alias("text_sha256"))
+    shared = common.stage(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-hashes")
+    texts = base.select("h", "text_sha256", "norm")
+    if common.few(shared):
+        again = texts.join(F.broadcast(shared.select("h")), "h", "left_semi")
+    else:
+        hot, cold = common.split_hot(shared, "n", df.count())
+        again = texts.join(F.broadcast(hot.select("h")), "h", "left_semi").unionByName(texts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold.select("h"), "h", "left_semi"))
+    sides = again.groupBy("h", "text_sha256").agg(F.min("norm").alias("least"), F.max("norm").alias("largest"))
+    collided = common.stage(sides.filter("least <> largest").select("h", "text_sha256"), "exact-collisions")
+    # Never met with these digests: a collision gives every text one of another length beside them.
+    collides = not collided.isEmpty()
+    more = F.sha2(norm, 512) if collides else F.lit("")
+    rows = base.withColumn("more", F.sha2("norm", 512) if collides else F.lit(""))
+    tied = common.stage(rows.groupBy(*key, "doc_id").agg(F.count(F.lit(1)).alias("times")), "exact-tied")
+    largest = F.max(F.struct("doc_id", "times")).alias("top")
+    groups = tied.groupBy(*key).agg(largest, F.sum("times").alias("group_size"))
+    groups = common.stage(groups.select(*key, F.col("top.doc_id").alias("keep_id"), F.col("top.times").alias("keep_times"), "group_size"), "exact-groups")
+    return tied, groups, more, key
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -18,28 +55,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * rows repeating both id and text tie: exactly one of them stays;
     * an empty table gives an empty result; other columns, whatever their names, are not read.
 
-    Plan: the hashes alone are grouped first (partial sums, so a hot text is one row per map task). Then
-    each text travels once, to its hash and a salt: a group that holds over 1/HOT_SHARE of all rows is
-    spread over as many salts as it has such shares. There its bytes are compared with those of the largest
-    id, and rows whose bytes differ in spite of equal hashes are set apart. Groups are one MD5, one SHA-256
-    and one outcome of that comparison, so the parts of a spread group meet again by both digests.
+    Plan: see ``_keyed``; then narrow rows without texts meet their groups, hot groups by broadcast.
     """
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), common.ascii_lower(F.col(text_col)).alias("norm"))
-    base = base.withColumn("h", F.unhex(F.md5("norm")))
-    hashes = common.stage(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-hashes")
-    total = df.count()
-    hot, _ = common.split_hot(hashes, "n", total)
-    parts = F.ceil(F.col("n") * common.HOT_SHARE / F.lit(max(total, 1))).cast("int")
-    salted = base.join(F.broadcast(hot.select("h", parts.alias("parts"))), "h", "left")
-    salted = salted.select("doc_id", "norm", "h", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
-    of_largest = F.first("norm").over(Window.partitionBy("h", "salt").orderBy(F.col("doc_id").desc_nulls_last()))
-    met = salted.withColumn("apart", F.col("norm") != of_largest)
-    rows = common.stage(met.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), "apart"), "exact-rows")
-
-    key = ["h", "text_sha256", "apart"]
-    tied = rows.groupBy(*key, "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    stats = common.stage(rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
-    out = common.lookup(common.stage(tied, "exact-tied"), stats, key, "group_size", total)
+    tied, groups, _, key = _keyed(df, id_col, text_col)
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    out = common.lookup(tied, groups, key, "group_size", total)
     copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     out = out.select("doc_id", "keep_id", "group_size", "text_sha256", copy)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
@@ -47,13 +67,25 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without its exact copies; columns as in ``df``.
+    """``df`` without its exact copies; columns as in ``df``, whatever their names.
+
+    Of each text the row stays that ``exact_groups`` keeps; of rows that repeat both id and text one does, and rows
+    repeating an id with different texts are each judged by their own text. Rows without an id keep one row per text.
 
-    Ids should be unique; rows repeating id and text are reduced to one, and rows repeating an id
-    with different texts are each judged by their own text. Rows without an id keep one row per text.
+    Only groups of several rows are looked up: by broadcast where they are few, else by a join that moves each row
+    once. Rows are only compared with each other again where one id has one text several times.
     """
-    verdict = exact_groups(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    row = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__sha", F.sha2(common.ascii_lower(F.col(text_col)), 256))
-    named = row.join(verdict, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    nameless = row.filter("__id IS NULL").join(verdict.filter("__id IS NULL").drop("__id"), "__sha", "left_semi").dropDuplicates(["__sha"])
-    return named.unionByName(nameless).select(*[F.col(f"`{c}`") for c in df.columns])
+    _, groups, more, key = _keyed(df, id_col, text_col)
+    several = groups.filter("group_size > 1").select(*key, "keep_id", "keep_times", "group_size")
+    h, sha = _digests(common.ascii_lower(F.col(text_col)))
+    wide = common.packed(df, F.col(id_col).cast("long").alias("id"), h.alias("h"), sha.alias("text_sha256"), more.alias("more"))
+    if common.few(several):
+        met = wide.join(F.broadcast(several), key, "left")
+    else:
+        met = common.lookup(wide, several, key, "group_size", df.count(), "left")
+    stay = F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))
+    met = met.filter(stay)
+    if several.filter("keep_times > 1").isEmpty():
+        return met.select("row.*")
+    once = F.coalesce(F.col("keep_times"), F.lit(1)) == 1
+    return met.filter(once).select("row").unionByName(met.filter(~once).dropDuplicates(key).select("row")).select("row.*")

@@ -288,7 +288,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``df`` with one document of each group, the one with the smallest id; columns as in ``df``."""
-    gone = near_groups(df, id_col, text_col, shingle, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    met = df.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return met.select(*[F.col(f"`{c}`") for c in df.columns])
+    """``df`` with one document of each group, the one with the smallest id; columns as in ``df``, whatever their names.
+
+    Rows without an id link with nothing and stay; rows that share an id are one document and stay or go together.
+    Ids that go leave by broadcast where they are few, else by an anti-join that moves each row once.
+    """
+    gone = near_groups(df, id_col, text_col, shingle, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("k")).distinct()
+    gone = common.stage(gone, "near-gone")
+    met = common.packed(df, F.col(id_col).cast("long").alias("k"))
+    return met.join(F.broadcast(gone) if common.few(gone) else gone, "k", "left_anti").select("row.*")
