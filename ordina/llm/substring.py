@@ -19,11 +19,14 @@ from .words import Vocabulary
 WINDOW = 35
 #: Words in the m-grams among which a window's minimiser is chosen.
 GRAM = 8
-#: Distinct strings of one minimiser that one task sorts; buckets beyond it are counted window by window, anywhere.
+#: Longer grams whose minimisers part the windows of a bucket of too many strings; the last is the window itself.
+FINER = (20, WINDOW)
+#: Distinct strings of one minimiser that one task sorts; a bucket of more is parted by the next finer minimiser.
 BUCKET_STRINGS = 512
 
 RUNS = "doc_id long, th long, m long, c long, start int, n_win int"
-STRINGS = "m long, c long, n long, doc_id long, th long, start int, off int, w1 long, w2 long, packed binary"
+STRINGS = "m long, c long, n long, doc_id long, th long, start int, packed binary, large boolean"
+PARTS = "m long, c long, n long, doc_id long, th long, start int, n_win int, packed binary"
 SPANS = "doc_id long, th long, start int, n_win int"
 
 
@@ -67,27 +70,47 @@ def _runs(window: int, gram: int):
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_STRINGS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("packed", pa.binary()), ("large", pa.bool_())])
+_PARTS = pa.schema([*list(_STRINGS)[:6], pa.field("n_win", pa.int32()), pa.field("packed", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _strings(window: int):
-    """Packs the asked runs of each text; for runs of very large buckets, two hashes of each window instead."""
+    """Packs the asked runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("off", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("packed", pa.binary())])
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
             out = []
             for d, th, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = (text or "").encode().split()
-                for a in asked:
-                    part = words[a["start"] : a["start"] + a["n_win"] + window - 1]
-                    head = (a["m"], a["c"], a["n"], d, th, a["start"])
-                    if not a["large"]:
-                        out.append((*head, None, None, None, b" ".join(part)))
-                        continue
-                    for off in range(a["n_win"]):
-                        h = xxhash.xxh3_128_intdigest(b" ".join(part[off : off + window]))
-                        out.append((*head, off, signed(h >> 64), signed(h & (1 << 64) - 1), None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+                out += [(a["m"], a["c"], a["n"], d, th, a["start"], b" ".join(words[a["start"] : a["start"] + a["n_win"] + window - 1]), a["large"]) for a in asked]
+            yield _batch(out, _STRINGS)
+
+    return run
+
+
+def _parts(window: int, gram: int):
+    """The super-k-mers of packed strings under a longer minimiser, beside their bucket's own one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        for batch in batches:
+            out = []
+            for m, n, d, th, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = packed.split(b" ")
+                for at, count, least in zip(*(x.tolist() for x in super_kmers(vocabulary.codes(words), window, gram)), strict=True):
+                    part = b" ".join(words[at : at + count + window - 1])
+                    key = xxhash.xxh3_64_intdigest(least.to_bytes(8, "little"), m & (1 << 64) - 1)
+                    out.append((_signed(key), _signed(xxhash.xxh3_64_intdigest(part)), n, d, th, start + at, count, part))
+            yield _batch(out, _PARTS)
 
     return run
 
@@ -122,9 +145,7 @@ def _sorted_buckets(window: int):
         pending: list[tuple] = []
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            out = [s for _, same in groupby(rows, key=lambda r: r[0]) for s in spans(list(same))]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+            return _batch([s for _, same in groupby(rows, key=lambda r: r[0]) for s in spans(list(same))], schema)
 
         for batch in batches:
             pending += zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
@@ -173,14 +194,40 @@ def _with(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return texts.join(rows, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")), how).drop("__d", "__t")
 
 
+def _in_buckets(strings: DataFrame, window: int) -> DataFrame:
+    """Spans of the ``strings`` (m, c, n, doc_id, th, start, packed) of buckets that one task each can sort."""
+    rows = strings.select("m", "c", "n", "doc_id", "th", "start", "packed")
+    return rows.repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_buckets(window), SPANS)
+
+
+def _finer(strings: DataFrame, window: int, gram: int, last: bool) -> tuple[list[DataFrame], DataFrame]:
+    """(spans, strings of buckets that are still too large) of ``strings`` of large buckets, under a longer minimiser.
+
+    Equal windows share every minimiser, so they meet in one part of their bucket. Equal parts are counted first, and
+    one of each is sorted in its bucket with the others, as before.
+    """
+    parts = common.stage(strings.select("m", "n", "doc_id", "th", "start", "packed").mapInArrow(_parts(window, gram), PARTS), "sub-parts")
+    rep = F.min(F.struct("doc_id", "th", "start", "packed")).alias("rep")
+    each = common.stage(parts.groupBy("m", "c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), rep), "sub-strings")
+    copied = common.lookup(parts.filter("n = 1").drop("n", "packed"), each.filter("n > 1").select("m", "c", "rows"), ["m", "c"], "rows", parts.count())
+    spans = [copied.select("doc_id", "th", "start", "n_win")]
+    sizes = common.stage(each.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "sub-buckets")
+    met = common.lookup(each.drop("rows"), sizes, ["m"], "k", each.count()).select("m", "c", "n", "rep.*", "k")
+    met = common.stage(met, "sub-mixed")
+    small = F.lit(True) if last else F.col("k") <= BUCKET_STRINGS
+    spans.append(_in_buckets(met.filter(small), window))
+    return spans, met.filter(~small)
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, th (hash of the text), spans: runs of windows whose word sequence also starts elsewhere.
 
     Runs of windows that share a minimiser (super-k-mers) are first compared by hashes alone: a minimiser
     met once cannot hold a repeated window, and a minimiser whose runs all are one string holds repeated
     windows only. Only strings of the other minimisers travel, one copy of each, to their bucket, where
-    windows are sorted and counted as word sequences. A bucket of more than BUCKET_STRINGS strings is
-    counted by 128-bit window hashes with partial sums instead, so it never meets in one task.
+    windows are sorted and counted as word sequences. A bucket of more than BUCKET_STRINGS strings, that of a phrase
+    in many surroundings, is parted into buckets of longer minimisers (FINER) first, so it never meets in one task;
+    under the longest, the window itself, a bucket holds copies of one window only, which count as one string.
     """
     texts = _texts(df, id_col, text_col)
     runs = common.stage(texts.mapInArrow(_runs(window, gram), RUNS), "sub-runs")
@@ -196,17 +243,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = asked.groupBy("doc_id", "th").agg(F.collect_list("a").alias("asked"))
     packed = common.stage(_with(texts, asked, "inner").mapInArrow(_strings(window), STRINGS), "sub-packed")
 
-    whole = met.filter("NOT mixed").select("doc_id", "th", "start", "n_win")
     copies = strings.filter("n > 1").select("m", "c", "n")
     copied = common.lookup(met.filter("mixed").drop("mixed"), copies, ["m", "c"], "n", total).select("doc_id", "th", "start", "n_win")
-    few = packed.filter("packed IS NOT NULL").select("m", "c", "n", "doc_id", "th", "start", "packed")
-    few = few.repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_buckets(window), SPANS)
-    many = packed.filter("packed IS NULL")
-    counts = common.stage(many.groupBy("w1", "w2").agg(F.sum("n").alias("w_n")).filter("w_n > 1"), "sub-windows")
-    many = common.lookup(many.filter("n = 1").drop("packed"), counts, ["w1", "w2"], "w_n", total)
-    many = many.select("doc_id", "th", (F.col("start") + F.col("off")).alias("start"), F.lit(1).alias("n_win"))
-    spans = whole.unionByName(copied).unionByName(few).unionByName(many)
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n_win")).alias("spans"))
+    spans = [met.filter("NOT mixed").select("doc_id", "th", "start", "n_win"), copied, _in_buckets(packed.filter("NOT large"), window)]
+    large = packed.filter("large")
+    finer = [g for g in FINER if gram < g < window] + [window]
+    for g in finer:
+        if large.isEmpty():
+            break
+        more, large = _finer(large, window, g, g == window)
+        spans += more
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n_win")).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

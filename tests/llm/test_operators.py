@@ -85,12 +85,36 @@ def test_exact(docs, rows, odd):
     assert sorted(r.doc_id for r in exact_dedup.drop_exact(odd).select("doc_id").collect()) == [8, 9, 9, 10]
 
 
-def test_exact_splits_hot_groups(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_exact_hot_groups(spark, monkeypatch, most):
+    """A hot group, with groups looked up by broadcast and by joins."""
     monkeypatch.setattr(common, "HOT_SHARE", 4)
-    hot = frame(spark, [(i, "Same Text" if i % 2 else f"text {i}") for i in range(60)] + [(99, None)] * 30)
+    monkeypatch.setattr(common, "FEW_ROWS", most)
+    hot = frame(spark, [(i, "Same Text" if i % 2 else f"text {i // 4}") for i in range(60)] + [(99, None)] * 30 + [(None, "lone"), (None, "lone")])
     made = exact_dedup.exact_groups(hot).collect()
-    assert Counter((r.keep_id, r.group_size) for r in made if r.group_size > 1) == {(59, 30): 30, (99, 30): 30}
-    assert sum(r.kept for r in made) == 32
+    assert Counter((r.keep_id, r.group_size) for r in made if r.group_size > 2) == {(59, 30): 30, (99, 30): 30}
+    assert sum(r.kept for r in made) == 18
+    kept = exact_dedup.drop_exact(hot)
+    assert kept.columns == hot.columns and sorted((r.doc_id or 0) for r in kept.select("doc_id").collect()) == [0, *range(2, 60, 4), 59, 99]
+
+
+def test_exact_collisions(spark, monkeypatch):
+    """Texts of equal digests are told apart by their bytes."""
+    monkeypatch.setattr(exact_dedup, "_digests", lambda norm: (F.encode(F.char_length(norm).cast("string"), "utf-8"), F.left(norm, F.lit(1))))
+    df = frame(spark, [(1, "aa"), (2, "ab"), (3, "AA"), (4, "b"), (5, "ab"), (6, "abc")])
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()} == {1: (3, 2), 2: (5, 2), 3: (3, 2), 4: (4, 1), 5: (5, 2), 6: (6, 1)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact(df).select("doc_id").collect()) == [3, 4, 5, 6]
+
+
+def test_names_that_operators_use_themselves(spark):
+    """Columns of the caller's may have any name, and come out as they are."""
+    names = ["row", "k", "id", "h", "more", "keep_id", "group_size", "__id", "__sha", "__bad", "__gone", "text_sha256", "carried", "kept", "m"]
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(i, t, "en", "s", *["mine"] * len(names)) for i, t in ((1, text), (2, text.upper()), (3, text + " end"), (None, "other words " + text[::-1]))], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for made, ids in ((exact_dedup.drop_exact(df), [2, 3, None]), (minhash.drop_near(df), [1, None]), (quality_rules.keep_good(df), [1, 3]), (mixing.take(df, {"lang": "lang"}, {}, share=1.0), [1, 2, 3, None])):
+        rows = made.collect()
+        assert made.columns == df.columns and {r.doc_id for r in rows} == set(ids) and len(rows) == len(ids)
+        assert all(r[n] == "mine" for r in rows for n in names)
 
 
 def brute_near(rows, size, percent=80):
@@ -175,13 +199,24 @@ def brute_repeats(rows, window=35):
 def test_substring(docs, rows, odd, monkeypatch):
     want = brute_repeats(rows)
     assert Counter(map(tuple, substring.remove_repeats(docs).collect())) == want
-    monkeypatch.setattr(substring, "BUCKET_STRINGS", 1)  # every bucket is large
     monkeypatch.setattr(common, "HOT_SHARE", 3)
-    assert Counter(map(tuple, substring.remove_repeats(docs).collect())) == want
+    for most in (1, 2):  # every bucket of several strings is large, at the next level too
+        monkeypatch.setattr(substring, "BUCKET_STRINGS", most)
+        assert Counter(map(tuple, substring.remove_repeats(docs).collect())) == want
     made = Counter(map(tuple, substring.remove_repeats(odd).collect()))
     assert made == brute_repeats([(r.doc_id, r.text) for r in odd.collect()])
 
 
+def test_substring_common_phrases(spark, monkeypatch):
+    """Phrases as long as each level's minimisers in ever other surroundings, repeated windows among them."""
+    rng = random.Random(41)
+    phrases = [" ".join(words(rng, n, 10**6)) for n in (8, 12, 20, 24, 34, 40)]
+    rows = [(i, " ".join(" ".join(words(rng, rng.randint(5, 40), 10**6)) + " " + rng.choice(phrases) for _ in range(4))) for i in range(60)]
+    rows += [(100 + i, t + " tail " + rng.choice(phrases)) for i, (_, t) in enumerate(rows[:10])]
+    monkeypatch.setattr(substring, "BUCKET_STRINGS", 3)
+    assert Counter(map(tuple, substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_repeats(rows)
+
+
 def brute_measures(t):
     w = split(t)
     lines = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
@@ -396,6 +431,16 @@ def test_token_counts(docs, rows):
         assert r.n_tokens == sum(known.setdefault(p, best(p.encode())) for p in found)
 
 
+def test_token_memory_is_bounded_within_a_text(monkeypatch):
+    rng = random.Random(22)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(3000)) + " " + "xyz" * 4000 + " " + "!?" * 100
+    want = token_counts.Counter("byte_bpe_50k").count(text)
+    for name, value in (("NODES", 500), ("UNITS", 50), ("LONG", 20)):
+        monkeypatch.setattr(token_counts, name, value)
+    counter = token_counts.Counter("byte_bpe_50k")
+    assert counter.count(text) == want and len(counter.trie.best) <= 500 + 20 and len(counter.units) <= 50
+
+
 def test_mixing(docs, odd, spark):
     levels = {"domain": "CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END", "lang": "lang", "source": "source"}
     weights = {("crawl",): 0.2, ("curated", "en"): 3.0}
