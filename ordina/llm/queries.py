@@ -17,6 +17,12 @@ LEVELS = {"domain": "CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END",
 WEIGHTS = {("crawl",): 0.4, ("curated",): 0.6} | {(d, *x): w for d in ("crawl", "curated") for *x, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
 
 
+#: A tree of files for the documents: licence files in the two upper levels of directories, others in the two below.
+_PATH = """concat_ws('/', source, CASE doc_id % 10 WHEN 0 THEN concat('LICENSE-', doc_id) WHEN 1 THEN concat_ws('/', lang, concat('COPYING.', doc_id))
+    WHEN 2 THEN concat_ws('/', lang, CAST(floor(doc_id / 1000) AS BIGINT), concat(doc_id, '.txt'))
+    ELSE concat_ws('/', lang, CAST(floor(doc_id / 1000) AS BIGINT), doc_id % 3, concat(doc_id, '.txt')) END)"""
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"))
 
@@ -36,9 +42,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000), F.concat(F.col("doc_id"), F.lit(".txt")))
-    found = licenses.scan(documents.select(path.alias("path"), "text"))
-    return found.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), *found.columns)
+    found = licenses.scan(documents.select(F.expr(_PATH).alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1).cast("long").alias("doc_id"), *found.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,24 +74,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _license_sql() -> str:
     rows, unknown = licenses.vectors()
     values = ", ".join(f"('{name}', {i}, '{term}', {weight!r}::DOUBLE, {idf!r}::DOUBLE)" for name, i, term, weight, idf in rows)
+    line, paragraph = (licenses._ENDS[k] for k in ("line", "paragraph"))
     return f"""
         WITH t(license, template, term, weight, idf) AS (VALUES {values}),
         idf AS (SELECT DISTINCT term, idf FROM t),
-        d AS (SELECT doc_id, concat_ws('/', source, lang, (doc_id // 1000)::VARCHAR) AS dir, lower(coalesce(text, '')) AS low FROM documents),
-        l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(len(string_split(low, chr(10))))) AS pos FROM d),
-        w AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM l),
-        tf AS (SELECT doc_id, pos, term, count(*) AS n FROM w WHERE term NOT IN ({', '.join(map(repr, sorted(licenses.COMMON)))}) GROUP BY ALL),
-        size AS (SELECT doc_id, pos, count(*) AS terms FROM w GROUP BY ALL),
-        norm AS (SELECT doc_id, pos, sqrt(sum(n * n * coalesce(idf * idf, {unknown!r}))) AS norm, any_value(terms) AS terms FROM tf JOIN size USING (doc_id, pos) LEFT JOIN idf USING (term) GROUP BY ALL),
-        dot AS (SELECT doc_id, pos, license, template, sum(n * idf * weight) AS dot FROM tf JOIN t USING (term) GROUP BY ALL),
-        hit AS (SELECT doc_id, pos, max(struct_pack(s := dot / norm, l := license)) AS b, any_value(terms) AS terms FROM dot JOIN norm USING (doc_id, pos) WHERE dot / norm >= {licenses.COSINE} GROUP BY ALL),
-        own AS (SELECT doc_id, max(b) AS b, sum(terms) AS covered FROM hit GROUP BY 1),
-        f AS (SELECT d.doc_id, d.dir, dir || '/' || d.doc_id || '.txt' AS path, b.l AS license, b.s AS score, covered >= {licenses.COVERAGE} * len(regexp_extract_all(low, '[a-z0-9]+')) AS grants FROM d LEFT JOIN own USING (doc_id)),
-        g AS (SELECT dir, arg_min(license, (-round(score, 6), path)) AS up, round(arg_min(score, (-round(score, 6), path)), 6) AS up_score FROM f WHERE license IS NOT NULL AND grants GROUP BY 1)
-        SELECT doc_id, path, coalesce(license, up) AS license, round(coalesce(score, up_score), 6) AS score,
-            CASE WHEN license IS NOT NULL THEN 'own' WHEN up IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-            CASE WHEN license IS NULL AND up IS NOT NULL THEN dir END AS license_dir
-        FROM f LEFT JOIN g USING (dir)"""
+        p AS (SELECT doc_id, {_PATH} AS path, lower(coalesce(text, '')) AS low FROM documents),
+        d AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, low FROM p),
+        b AS (SELECT doc_id, 'line' AS kind, unnest(string_split(low, chr(10))) AS x FROM d UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(low, '{licenses._PARAGRAPH}')) FROM d),
+        e AS (SELECT doc_id, kind, unnest(CASE kind WHEN 'line' THEN regexp_split_to_array(x, '{line}') ELSE regexp_split_to_array(x, '{paragraph}') END) AS s FROM b),
+        l AS (SELECT doc_id, kind, s, row_number() OVER () AS pos FROM e WHERE kind = 'line' OR contains(s, chr(10))),
+        w AS (SELECT doc_id, kind, pos, unnest(regexp_extract_all(s, '[a-z0-9]+')) AS term FROM l),
+        tf AS (SELECT doc_id, kind, pos, term, count(*) AS n FROM w GROUP BY ALL),
+        norm AS (SELECT pos, sqrt(sum(n * n * coalesce(idf * idf, {unknown!r}))) AS norm, sum(n) AS terms FROM tf LEFT JOIN idf USING (term) GROUP BY ALL),
+        dot AS (SELECT doc_id, kind, pos, license, template, sum(n * idf * weight) AS dot FROM tf JOIN t USING (term) GROUP BY ALL),
+        hit AS (SELECT doc_id, kind, pos, max(struct_pack(s := round(dot / norm, 6), l := license)) AS b, any_value(terms) AS terms FROM dot JOIN norm USING (pos) WHERE round(dot / norm, 6) >= {licenses.COSINE} GROUP BY ALL),
+        own AS (SELECT doc_id, max(b) AS b, greatest(coalesce(sum(terms) FILTER (kind = 'line'), 0), coalesce(sum(terms) FILTER (kind = 'paragraph'), 0)) AS covered FROM hit GROUP BY 1),
+        f AS (SELECT d.doc_id, d.dir, path, b.l AS license, b.s AS score, regexp_matches(path, '/(LICENSE|COPYING)[^/]*$') OR covered >= {licenses.COVERAGE} * len(regexp_extract_all(low, '[a-z0-9]+')) AS grants FROM d LEFT JOIN own USING (doc_id)),
+        g AS (SELECT dir AS up_dir, arg_min(license, (-score, path)) AS up, arg_min(score, (-score, path)) AS up_score FROM f WHERE license IS NOT NULL AND grants GROUP BY 1),
+        a AS (SELECT dir, unnest(list_concat([''], list_transform(range(1, len(string_split(dir, '/')) + 1), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) AS up_dir FROM (SELECT DISTINCT dir FROM f)),
+        n AS (SELECT dir, max(struct_pack(n := length(up_dir), d := up_dir, l := up, s := up_score)) AS u FROM a JOIN g USING (up_dir) GROUP BY 1)
+        SELECT doc_id, path, coalesce(license, u.l) AS license, coalesce(score, u.s) AS score,
+            CASE WHEN license IS NOT NULL THEN 'own' WHEN u.l IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+            CASE WHEN license IS NULL THEN u.d END AS license_dir
+        FROM f LEFT JOIN n USING (dir)"""
 
 
 _WORD_LIST = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"

@@ -615,16 +615,39 @@ def test_license_scores(spark):
     for name, i, t, w, x in rows:
         vectors[name, i][t] = w * x
     pool = sorted(idf) + ["foo", "bar"]
-    lines = [" ".join(rng.choices(pool, k=rng.randint(1, 8))) for _ in range(200)] + [t for ts in licenses.TEMPLATES.values() for t in ts]
+    lines = [" ".join(rng.choices(pool, k=rng.randint(1, 8))) for _ in range(200)]
+    lines += [rng.choice(["", "Foo bar. ", "// ", "foo\n\n"]) + t.replace(" ", "\n# ", 1 + i % 3) + rng.choice(["", " And more.", "\nfoo"]) for i, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
     df = spark.createDataFrame(list(enumerate(lines)), "key long, text string")
-    made = {r.key: (r.license, r.score) for r in licenses.line_licenses(df).collect()}
+    made = {r.key: (r.license, r.score) for r in licenses.segment_licenses(df).collect()}
     for k, line in enumerate(lines):
-        tf = Counter(licenses._terms(line))
-        norm = math.sqrt(sum(n * n * (idf[t] ** 2 if t in idf else unknown) for t, n in tf.items()))
-        score, name = max((sum(n * v.get(t, 0) for t, n in tf.items()) / norm, name) for (name, _), v in vectors.items())
+        best = (0.0, "")
+        for _, part in licenses.segments(line):
+            tf = Counter(licenses._terms(part))
+            norm = math.sqrt(sum(n * n * (idf[t] ** 2 if t in idf else unknown) for t, n in tf.items())) or 1.0
+            best = max(best, max((round(sum(n * v.get(t, 0) for t, n in tf.items()) / norm, 6), name) for (name, _), v in vectors.items()))
+        score, name = best
         assert made.get(k) == ((name, pytest.approx(score, abs=1e-5)) if score >= licenses.COSINE else None)
 
 
+def test_license_notices(spark):
+    """Common forms of notices, alone, within prose, wrapped, and beside code; very long texts, ties, clean texts."""
+    mit = " ".join(licenses.TEMPLATES["MIT"][-2:])
+    wrapped = "\n".join("# " + mit[i : i + 60].strip() for i in range(0, len(mit), 60))
+    wanted = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0\nint main() {}": "Apache-2.0", "Copyright 2020 John Smith. All rights reserved.": "proprietary",
+        "This project is released under the terms of the MIT License.": "MIT", "Licensed under the MIT license. See LICENSE file in the project root for details.": "MIT",
+        "The library is licensed to you under the terms of the MIT license": "MIT", mit: "MIT", wrapped: "MIT", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone": "GPL",
+        "Long prose comes first and says this and that. Licensed under CC BY 4.0. And it goes on with more of that prose": "CC-BY", "word " * 200_000 + ". Licensed under CC BY-SA 4.0.": "CC-BY-SA",
+        "the rights of all people are discussed in a version of this work by the author": None, "permission slips and notices of the school are copied here": None, "": None,
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(wanted)], "key long, text string")
+    made = {r.key: r.license for r in licenses.segment_licenses(df).collect()}
+    assert {t[:60]: made.get(k) for k, t in enumerate(wanted)} == {t[:60]: x for t, x in wanted.items()}
+    tie = {"B": ("grants all alpha beta",), "A": ("grants all alpha gamma",)}
+    rows = licenses.segment_licenses(spark.createDataFrame([(1, "grants all alpha")], "key long, text string"), tie).collect()
+    assert [r.license for r in rows] == ["B"]
+
+
 def test_classifier(spark, odd):
     rng = random.Random(6)
     rows = [(i, " ".join(words(rng, 60)) if i % 3 else "Junk Junk " * 40, "en", f"src{i % 5}", 300) for i in range(600)]
