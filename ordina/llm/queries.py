@@ -17,9 +17,11 @@ LEVELS = {"domain": "CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END",
 WEIGHTS = {("crawl",): 0.4, ("curated",): 0.6} | {(d, *x): w for d in ("crawl", "curated") for *x, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
 
 
-#: A tree of files for the documents: licence files in the two upper levels of directories, others in the two below.
-_PATH = """concat_ws('/', source, CASE doc_id % 10 WHEN 0 THEN concat('LICENSE-', doc_id) WHEN 1 THEN concat_ws('/', lang, concat('COPYING.', doc_id))
-    WHEN 2 THEN concat_ws('/', lang, CAST(floor(doc_id / 1000) AS BIGINT), concat(doc_id, '.txt'))
+#: A tree of files for the documents: half of those that speak of a license are licence files in the two upper levels of
+#: directories, all others stand in the two below.
+_PATH = """concat_ws('/', source, CASE WHEN doc_id % 4 = 0 AND contains(coalesce(text, ''), 'icense') THEN concat('LICENSE-', doc_id)
+    WHEN doc_id % 2 = 0 AND contains(coalesce(text, ''), 'icense') THEN concat_ws('/', lang, concat('COPYING.', doc_id))
+    WHEN doc_id % 10 = 3 THEN concat_ws('/', lang, CAST(floor(doc_id / 1000) AS BIGINT), concat(doc_id, '.txt'))
     ELSE concat_ws('/', lang, CAST(floor(doc_id / 1000) AS BIGINT), doc_id % 3, concat(doc_id, '.txt')) END)"""
 
 
@@ -37,7 +39,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    return classifier.score(documents, classifier.train(documents, common.table(spark, sf_dir, "labels")))
+    rows = classifier.features(documents)
+    return classifier.score_on(rows, classifier.train_on(rows, common.table(spark, sf_dir, "labels")))
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -659,10 +659,43 @@ def test_classifier(spark, odd):
     assert sum(made[i].kept == (i % 3 > 0) for i in held_out) / len(held_out) > 0.98
     assert all(0 <= r.score <= 1 for r in made.values())
     assert classifier.score(odd, model).count() == 8
+    wide = df.select("*", F.lit("x").alias("meta"), F.lit(1).alias("y"), F.lit(2).alias("slot"))
+    again = classifier.train(wide.repartition(7), labels.unionByName(labels))
+    assert all(abs(a - b).max() < 1e-6 for a, b in zip(again.views, model.views, strict=True))
+    empty = classifier.train(df.limit(0), labels)
+    assert classifier.score(odd, empty).count() == 8 and classifier.score(df.limit(0), model).count() == 0
     nothing = classifier.train(df, labels.limit(0))
     assert classifier.score(df.limit(3), nothing).count() == 3
 
 
+def test_sums_over_parts(spark):
+    """What executors add up is what one pass over all rows gives, and views learn from each other."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.5).astype(float)
+    text, meta = np.zeros((3000, classifier.TEXT_WIDTH)), np.zeros((3000, classifier.META_WIDTH))
+    text[:, 1], text[:, 20] = y + rng.normal(0, 0.35, 3000), rng.random(3000)
+    meta[:, 0], meta[:, 9:40] = y + rng.normal(0, 0.4, 3000), rng.normal(0, 1, (3000, 31))
+    text, meta = text.astype(np.float32).astype(float), meta.astype(np.float32).astype(float)
+    rest = slice(200, None)
+    whole = lambda model: classifier.taught(model, (text[rest], meta[rest]))
+    packed = [(x.astype(np.float32).tobytes(), m.astype(np.float32).tobytes()) for x, m in zip(text[rest], meta[rest], strict=True)]
+    spread = classifier._teach(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in packed], "text binary, meta binary").repartition(5))
+    alone = classifier.fit((text[:200], meta[:200]), y[:200], whole, rounds=0)
+    for (g, c, n), (g2, c2, n2) in zip(whole(alone), spread(alone), strict=True):
+        assert n == n2 > 100 and np.allclose(g, g2) and np.allclose(c, c2)
+    both = classifier.fit((text[:200], meta[:200]), y[:200], whole)
+
+    def auc(z):
+        order = z.argsort().argsort()
+        good = y[rest] == 1
+        return (order[good].mean() - order[~good].mean()) / len(z) + 0.5
+
+    meta_before, meta_after = (auc(m.levels((text[rest], meta[rest]))[1]) for m in (alone, both))
+    assert meta_after > meta_before + 0.005 and auc(both.scores((text[rest], meta[rest]))[2]) > 0.9
+
+
 def test_clear_stages(spark):
     common.clear_stages(spark)
     made = common.stage(spark.range(3), "x")
