@@ -459,6 +459,37 @@ def test_mixing(docs, odd, spark):
         mixing.mix(docs, levels, {("crawl",): 0})
 
 
+def test_mixing_prefixes_against_brute_force(spark, monkeypatch):
+    """Each leaf's whole epochs, and the row-by-row walk along its last epoch's seeded order."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rng = random.Random(51)
+    rows = [(i, rng.choice(["en", "en", "en", "de"]), rng.choice("abc"), rng.choice([0, 1, 7, 50, 400])) for i in range(300)] + [(900, "fr", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n long")
+    levels, weights = {"lang": "lang", "source": "source"}, {("de",): 6.0, ("en", "a"): 0.2}
+    made = mixing.mix(df, levels, weights, share=0.7, max_epochs=3, seed=5, tokens=F.col("n"))
+    made = made.withColumn("order", F.xxhash64(F.lit(5), "epochs", "doc_id")).collect()
+    tree = defaultdict(lambda: defaultdict(int))
+    for _, lang, source, n in rows:
+        tree[lang][source] += 3 * n
+    total = int(0.7 * sum(r[3] for r in rows))
+    want = brute_budgets({k: dict(v) for k, v in tree.items()}, total, weights)
+    leaves = defaultdict(list)
+    for r in made:
+        leaves[r.lang, r.source].append(r)
+    epochs = set()
+    for key, own in leaves.items():
+        budget, have = own[0].leaf_budget, sum(r.tokens for r in own)
+        assert abs(budget - want[key]) <= 3
+        left = budget % have if have else 0
+        for r in sorted(own, key=lambda r: (r.order, r.doc_id)):
+            assert r.epochs == (budget // have if have else 0)
+            assert r.last_tokens == min(left, r.tokens)
+            left -= r.last_tokens
+        assert left == 0
+        epochs.add(own[0].epochs)
+    assert len(epochs) > 1
+
+
 def test_mixing_counts_real_tokens(docs, rows, spark):
     """Tokens are the packing vocabulary's, so budgets and prefixes are cut in those, whatever a language needs per byte."""
     from tokenizers import Tokenizer
@@ -712,6 +743,7 @@ def test_empty_tables(docs):
     levels = {"lang": "lang"}
     for made in (
         exact_dedup.exact_groups(none), minhash.near_groups(none), substring.remove_repeats(none), quality_rules.judge(none), packing.pack(none), token_counts.token_counts(none),
+        licenses.scan(none.withColumn("path", F.col("source"))), classifier.score(none, classifier.train(none, none.select("doc_id", F.lit(1).alias("quality")))),
         mixing.mix(none, levels, {}), exact_dedup.drop_exact(none), minhash.drop_near(none), quality_rules.keep_good(none), mixing.take(none, levels, {}),
     ):
         assert made.count() == 0
