@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.aggregates import Aggregate
 from ..functions.compile import quoted
 from ..plans.order import BLOCK, RID, checked_broadcast
 from ..schema import INT, REAL, TIME
+from . import windows
 
 #: A rolling block covers so many intervals, so that few rows are sent to two blocks, unless that makes more than
 #: BLOCKS of them; but one that would hold over BLOCK_ROWS rows on average is cut down, to one interval at least.
@@ -77,52 +81,31 @@ def interpolate(df: DataFrame, kinds: Mapping[str, str], names: Sequence[str], p
     return met.withColumns(filled).drop(*drop)
 
 
-#: More than the rows that share one key: keys times twice this, plus a row's place among its ties, is a key
-#: without ties, over which one range frame expresses the open bound and leaves out later ties.
-TIES = 1 << 31
-#: Limits below this are checked against the data first; long intervals have them.
-TIES_UNCHECKED = 1 << 31
+def rolling(df: DataFrame, key: str, kind: str, interval: float, functions: Mapping[str, tuple[str, Aggregate]], peers: bool = False) -> DataFrame:
+    """key, RID and a double per entry of ``functions`` (output name -> column and aggregate), over (t - interval, t].
 
-
-def rolling(df: DataFrame, key: str, kind: str, interval: float, columns: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """Adds a column per entry of ``columns`` (output name -> aggregate of an order column), over (t - interval, t].
-
-    Rows carry their order in RID. Among rows of equal key, only earlier ones count. Keys are cut into blocks
-    of several intervals; a block also gets the last interval of the block before it. Rows without a key get
-    nulls, and are in no window.
+    Rows carry their order in RID. Among rows of equal key, only earlier ones count, or with ``peers`` all of them.
+    Keys are cut into blocks of several intervals; a block also gets the last interval of the block before it, and
+    its windows are evaluated in time that hardly depends on their lengths. Rows whose key is missing or not finite
+    get nulls (0 as SUM), and are in no window.
     """
     if interval <= 0:
         raise ValueError("the interval has to be positive")
+    interval = interval if kind == REAL else math.ceil(interval)
     number = F.unix_micros(quoted(key).cast("timestamp")) if kind == TIME else quoted(key)
-    rows = df.withColumn("__k", number)
-    lo, hi, n = rows.agg(F.min("__k"), F.max("__k"), F.count("__k")).first()
+    needed = dict.fromkeys([key, *[c for c, f in functions.values() if f is not Aggregate.LENGTH]])
+    rows = df.select(*map(quoted, needed), RID, number.alias("__k"))
+    known = F.col("__k").isNotNull() & (F.abs("__k") < float("inf") if kind == REAL else F.lit(True))
+    placed = rows.filter(known)
+    lo, hi, n = placed.agg(F.min("__k"), F.max("__k"), F.count("__k")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     width = max(interval, min(max(interval * INTERVALS_A_BLOCK, (hi - lo) / BLOCKS), (hi - lo) * BLOCK_ROWS / max(1, n)))
     width = width if kind == REAL else int(width) + 1
     own = F.floor((F.col("__k") - F.lit(lo)) / F.lit(width)).cast("long")
-    rows = rows.withColumn("__own", own).withColumn("__from", F.col("__k") - F.lit(lo) - F.col("__own") * F.lit(width))
+    placed = placed.withColumn("__own", own).withColumn("__from", F.col("__k") - F.lit(lo) - F.col("__own") * F.lit(width))
     late = F.when(F.col("__from") > F.lit(width) - F.lit(interval) - (F.lit(0) if kind != REAL else F.lit(width * 1e-9)), F.col("__own") + 1)
-    rows = rows.filter("__k IS NOT NULL").withColumn("__block", F.explode(F.array_compact(F.array("__own", late))))
-    if kind == REAL:
-        out = _rolling_real(rows, interval, columns)
-    else:
-        ties = F.row_number().over(Window.partitionBy("__block", "__k").orderBy(RID)) - 1
-        most = min(TIES, (1 << 62) // (2 * int(interval)))
-        if most < TIES_UNCHECKED and (found := df.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > most:
-            raise ValueError(f"{found} rows share a key, more than an interval of {interval} allows: {most}")
-        unique = (F.col("__k") - F.lit(lo)).cast("decimal(38,0)") * F.lit(2 * most).cast("decimal(12,0)") + ties.cast("decimal(12,0)")
-        rows = rows.withColumn("__c", unique.cast("decimal(38,0)"))
-        frame = Window.partitionBy("__block").orderBy("__c").rangeBetween(-(2 * int(interval) - 1) * most, 0)
-        out = rows.withColumns({n: f(F.col("__c")).over(frame) for n, f in columns.items()}).drop("__c")
-    out = out.filter("__own = __block").drop("__own", "__from", "__block")
-    nameless = df.withColumn("__k", number).filter("__k IS NULL")
-    return out.unionByName(nameless, allowMissingColumns=True).drop("__k")
-
-
-def _rolling_real(rows: DataFrame, interval: float, columns: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """Real keys have no exact range frame with an open bound: rows of a block meet by a join on their ranks."""
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__block").orderBy("__k", RID)))
-    left = rows.filter("__block = __own").select(F.col(RID).alias("__r"), F.col("__block").alias("__b"), F.col("__at").alias("__a"), F.col("__k").alias("__t"))
-    met = left.join(rows, (F.col("__b") == F.col("__block")) & (F.col("__k") > F.col("__t") - F.lit(interval)) & (F.col("__at") <= F.col("__a")))
-    sums = met.groupBy("__r").agg(*[f(F.col("__at")).alias(n) for n, f in columns.items()])
-    return rows.join(sums, (F.col(RID) == F.col("__r")) & (F.col("__own") == F.col("__block"))).drop("__r", "__at")
+    placed = placed.withColumn("__block", F.explode(F.array_compact(F.array("__own", late)))).withColumn("__is_own", F.expr("__own = __block")).drop("__own", "__from")
+    made = T.StructType([rows.schema[key], rows.schema[RID], *[T.StructField(n, T.DoubleType()) for n in functions]])
+    out = placed.groupBy("__block").applyInArrow(windows.block(key, interval, dict(functions), peers), made)
+    nothing = [F.lit(0.0 if f is Aggregate.SUM else None).cast("double").alias(n) for n, (_, f) in functions.items()]
+    return out.unionByName(rows.filter(~F.coalesce(known, F.lit(False))).select(quoted(key), RID, *nothing))

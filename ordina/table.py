@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.aggregates import Aggregate, gain, loss
-from .functions.compile import compile_predicate, compile_value, ieee_divide, present, quoted
+from .functions.aggregates import Aggregate
+from .functions.compile import compile_predicate, compile_value, present, quoted
 from .functions.expr import Source, build_predicate, build_value
 from .operators import charts, group, learn, nulls, reshape, stats, timeseries
 from .operators.ranks import quantiles
@@ -581,33 +581,31 @@ class Table:
         done = timeseries.shift(by_id._numbered(), name, steps, out)
         return Table(done.drop("__pos"), [*self._names, out], numbered=by_id._is_numbered)
 
-    def rolling_multiple(self, key: str, interval: Union[timedelta, int, float], wanted: group.Wanted) -> Table:
-        """key and ``<col>_<fn>`` over the rows of (t - interval, t], one row per row, in order of the key."""
+    def rolling_multiple(self, key: str, interval: Union[timedelta, int, float], wanted: group.Wanted, peers: bool = False) -> Table:
+        """key and ``<col>_<fn>`` over the rows of (t - interval, t], one row per row, in order of the key.
+
+        Of rows of equal key, only earlier ones are in a row's window; with ``peers`` all are, as in SQL's range frames.
+        """
+        group.check_functions(self.kinds, wanted)
+        return self._rolled(key, interval, {f"{n}_{f.value}": (n, f) for n, fs in wanted for f in fs}, peers)
+
+    def _rolled(self, key: str, interval: Union[timedelta, int, float], functions: Mapping[str, tuple[str, Aggregate]], peers: bool) -> Table:
         kind = self.kinds[self._check(key)]
         if isinstance(interval, timedelta) != (kind == TIME) or kind not in (INT, REAL, TIME):
             raise TypeError(f"an interval of {interval!r} does not fit a key of type {kind}")
-        group.check_functions(self.kinds, wanted)
         span = interval // timedelta(microseconds=1) if kind == TIME else interval
-        functions = {f"{n}_{f.value}": (n, f) for n, fs in wanted for f in fs}
-        by_id, made = self._by_id(), {}
-        for out, (n, f) in functions.items():
-            for part, build in _window_parts(f, quoted(n)).items():
-                made[f"{out}#{part}"] = build
-        done = timeseries.rolling(by_id._df.select(*map(quoted, dict.fromkeys([key, *[n for n, _ in functions.values()]])), RID), key, kind, span, made)
-        columns = [_window_result(f, lambda p, out=out: quoted(f"{out}#{p}")).alias(out) for out, (n, f) in functions.items()]
-        rows = done.select(quoted(key), *columns, quoted(key).alias("__key"), RID)
-        return Table(rows, [key, *functions], (Key("__key"), Key(RID)))
-
-    def rolling(self, key: str, interval: Union[timedelta, int, float], name: str, function: Aggregate) -> Table:
-        return self.rolling_multiple(key, interval, [(name, [function])])
-
-    def rolling_widths(self, key: str, interval: Union[timedelta, int, float]) -> Table:
+        inner = {f"__o{i}": f for i, f in enumerate(functions.values())}
+        done = timeseries.rolling(self._by_id()._df, key, kind, span, inner, peers)
+        columns = [F.col(o).alias(n) for o, n in zip(inner, functions, strict=True)]
+        return Table(done.select(quoted(key), *columns, quoted(key).alias("__key"), RID), [key, *functions], (Key("__key"), Key(RID)))
+
+    def rolling(self, key: str, interval: Union[timedelta, int, float], name: str, function: Aggregate, peers: bool = False) -> Table:
+        return self.rolling_multiple(key, interval, [(name, [function])], peers)
+
+    def rolling_widths(self, key: str, interval: Union[timedelta, int, float], peers: bool = False) -> Table:
         """key and the number of rows in each row's window."""
-        kind = self.kinds[self._check(key)]
-        span = interval // timedelta(microseconds=1) if kind == TIME else interval
-        by_id = self._by_id()
-        done = timeseries.rolling(by_id._df.select(quoted(key), RID), key, kind, span, {"width": lambda order: F.count(F.lit(1))})
-        return Table(done.select(quoted(key), "width", quoted(key).alias("__key"), RID), [key, "width"], (Key("__key"), Key(RID)))
+        done = self._rolled(key, interval, {"width": (key, Aggregate.LENGTH)}, peers)
+        return done._with(done._df.withColumn("width", F.col("width").cast("long")))
 
     def split_on(self, name: str, separators: str) -> Column:
         return self.column(name).split_on(separators)
@@ -693,38 +691,6 @@ def _xlsx_value(x: Any, kind: str | None) -> Any:
         return None
 
 
-def _window_parts(function: Aggregate, c: SparkColumn) -> dict[str, Callable[[SparkColumn], SparkColumn]]:
-    """Plain aggregates that a window evaluates for a function, each of the window's order column."""
-    if function is Aggregate.RSI:
-        return {"up": lambda o: F.avg(gain(c)), "down": lambda o: F.avg(loss(c))}
-    number = c.cast("double")
-    out = {
-        Aggregate.MINIMUM: lambda o: F.min(F.when(~F.isnan(number), c)),
-        Aggregate.MAXIMUM: lambda o: F.max(F.when(~F.isnan(number), c)),
-        Aggregate.MEAN: lambda o: F.avg(number),
-        Aggregate.LENGTH: lambda o: F.count(F.lit(1)),
-        Aggregate.MEDIAN: lambda o: F.percentile(number, F.lit(0.5)),
-        Aggregate.FIRST: lambda o: F.min_by(c, F.when(c.isNotNull(), o)),
-        Aggregate.LAST: lambda o: F.max_by(c, F.when(c.isNotNull(), o)),
-        Aggregate.SUM: lambda o: F.sum(c),
-        Aggregate.STD: lambda o: F.stddev_pop(number),
-    }
-    out = {"value": out[function]}
-    if function is Aggregate.STD:
-        out["n"] = lambda o: F.count(c)
-    return out
-
-
-def _window_result(function: Aggregate, part: Callable[[str], SparkColumn]) -> SparkColumn:
-    if function is Aggregate.RSI:
-        return ieee_divide(100 * part("up"), part("up") - part("down"))
-    if function is Aggregate.STD:
-        return F.when(part("n") >= 2, part("value"))
-    if function is Aggregate.SUM:
-        return F.coalesce(part("value"), F.lit(0)).cast("double")
-    return part("value").cast("double")
-
-
 class Column:
     """A named expression over a table's rows."""
 

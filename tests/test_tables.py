@@ -279,6 +279,67 @@ def test_rolling_ties_against_brute_force(spark, kind):
         assert made["v_first"][i] == (valid[0] if valid else None)
 
 
+@pytest.mark.parametrize("peers", [False, True])
+def test_window_functions_against_brute_force(peers):
+    """Every function of every window, beside nulls, NaN, infinities and a value that swallows the others."""
+    import random
+    import statistics
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ordina.operators.windows import Windows, evaluate
+
+    random.seed(7)
+    for n, odd in ((1, [N]), (2, [N]), (37, [N]), (300, [N]), (300, [N, math.nan, math.inf]), (100, [1e300])):
+        keys = np.array(sorted(random.choices(range(n // 2 + 1), k=n)))
+        values = [random.choice(odd) if random.random() < 0.3 else 1e9 + random.randrange(100) / 4 for _ in range(n)]
+        first = np.searchsorted(keys, keys - 9, "right")
+        last = np.searchsorted(keys, keys, "right") - 1 if peers else np.arange(n)
+        with np.errstate(all="ignore"):
+            made = {f: evaluate(f, Windows(n, first, last), pa.array(values, pa.float64())).to_pylist() for f in Aggregate}
+        for i in range(n):
+            valid = [v for v in values[first[i] : last[i] + 1] if v is not None]
+            known = [v for v in valid if v == v]
+            assert made[Aggregate.LENGTH][i] == last[i] - first[i] + 1
+            want = {Aggregate.MINIMUM: min(known, default=N), Aggregate.MAXIMUM: max(known, default=N), Aggregate.FIRST: valid[0] if valid else N, Aggregate.LAST: valid[-1] if valid else N}
+            want[Aggregate.MEDIAN] = statistics.median(sorted(valid, key=lambda v: (v != v, v))) if valid else N
+            want[Aggregate.SUM] = math.fsum(valid) if all(map(math.isfinite, valid)) else sum(valid)
+            want[Aggregate.MEAN] = want[Aggregate.SUM] / len(valid) if valid else N
+            if all(map(math.isfinite, valid)) and max(valid, default=0) < 1e300:
+                want[Aggregate.STD] = statistics.pstdev(valid) if len(valid) > 1 else N
+                want[Aggregate.RSI] = N if not valid else 100.0
+            for f, w in want.items():
+                got = made[f][i]
+                assert got is w is N or (got is not N and w is not N and (got == pytest.approx(w, rel=1e-13, abs=1e-9, nan_ok=True))), (f, i, got, w)
+
+
+def test_rolling_by_long_intervals_reads_no_row_per_window(spark):
+    """20,000 rows in one interval: by frames that are added up anew for each row this took 200 million steps a function."""
+    import time
+
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS k", "CAST(id % 100 AS DOUBLE) AS v", "id * 0.5D AS half")
+    began = time.perf_counter()
+    t = Table.from_df(df, ["k"])
+    made = t.rolling_multiple("k", n, [("v", [Aggregate.MEDIAN, Aggregate.SUM, Aggregate.STD])]).to_columns()
+    real = t.rolling("half", float(n), "v", Aggregate.SUM).to_columns()["v_sum"]
+    assert made["v_median"][-1] == 49.5 and made["v_sum"][-1] == real[-1] == 49.5 * n and made["v_std dev"][-1] == pytest.approx(28.866070047722118)
+    assert time.perf_counter() - began < 30
+
+
+def test_rolling_peers_and_keys_without_place(spark):
+    keys = [1.0, 1.0, N, 2.0, math.nan, math.inf, 2.0, -math.inf]
+    rows = Table.from_lists({"k": (REAL, keys), "v": (INT, [1, 2, 4, 8, 16, 32, 64, 128])}, spark)
+    got = {p: dict(zip([1, 2, 3, 4], rows.filter(lambda r: (r["k"] > 0) & (r["k"] < 9)).rolling_multiple("k", 1.5, [("v", [Aggregate.SUM])], peers=p).to_columns()["v_sum"], strict=True)) for p in (False, True)}
+    assert got == {False: {1: 1, 2: 3, 3: 11, 4: 75}, True: {1: 3, 2: 3, 3: 75, 4: 75}}
+    assert rows.rolling_widths("k", 1.5, peers=True).row_count == 8
+    assert sorted(rows.rolling("k", 1.5, "v", Aggregate.SUM).to_columns()["v_sum"]) == [0, 0, 0, 0, 1, 3, 11, 75]
+    large = Table.from_lists({"k": (INT, [2**62, 2**62 + 1, 2**62 + 3]), "v": (INT, [1, 2, 4])}, spark)
+    assert large.rolling("k", 2.5, "v", Aggregate.LENGTH).to_columns()["v_length"] == [1, 2, 2]
+
+
+
 def test_reshape(spark):
     rows = Table.from_lists({"n": (TEXT, ["a", N, "c", "d"]), "tags": (TEXT, ["x,y", "z", N, "p;,q"])}, spark)
     assert rows.ungroup_splitting_on("tags", ",;").to_list() == [("a", "x"), ("a", "y"), (N, "z"), ("d", "p"), ("d", ""), ("d", "q")]
