@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compile import quoted
-from ..plans.order import RID, checked_broadcast, sorts, stage
+from ..plans.order import BLOCK, RID, checked_broadcast, sorts, stage
 from ..schema import INT, REAL, TEXT, TIME
 
 #: Records that type deduction looks at, the header included.
@@ -133,22 +133,6 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def _tokenize(separator: str, quote: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.string())
-        for batch in batches:
-            for text in batch.column(0):
-                at, some = 0, []
-                for row in records(text.as_py(), separator, quote):
-                    some.append(row)
-                    if len(some) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, kind)], names=[RID, "cells"])
-                        at, some = at + len(some), []
-                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, kind)], names=[RID, "cells"])
-
-    return run
-
-
 def _records_of_lines(separator: str, quote: str):
     """Cells of lines that are each a record; the line numbered 0 may have a byte order mark."""
 
@@ -161,21 +145,56 @@ def _records_of_lines(separator: str, quote: str):
     return run
 
 
-def _is_whole(separator: str, quote: str):
-    """False for lines at whose end a quoted field is open."""
+def _open_ends(separator: str, quote: str):
+    """Of lines that are numbered: whether a quoted field is open at their end if they begin outside of one, and within."""
+
+    def is_open(text: str, first: bool) -> bool:
+        try:
+            next(records(text + "\n", separator, quote, first))
+        except CsvError:
+            return True
+        return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                try:
-                    for _ in records(text, separator, quote):
-                        pass
-                except CsvError:
-                    yield pa.RecordBatch.from_arrays([pa.array([False])], names=["whole"])
+            ids = batch.column(0)
+            ends = [(is_open(t, i == 0), is_open(quote + t, False)) for i, t in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([e[k] for e in ends], pa.bool_()) for k in (0, 1)]], names=[RID, "out", "in"])
 
     return run
 
 
+def _whole_records(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """(RID, value) of every record, from lines of which some end within a quoted field.
+
+    A line sets, turns or keeps whether a quoted field is open. What blocks of lines do is put together on the driver,
+    a row a block, so each block knows how it begins and all of them are walked in parallel; then lines meet by their
+    record's number.
+    """
+    spark, block = lines.sparkSession, F.expr(f"{RID} div {BLOCK}")
+    narrow = lines.select(RID).join(ends, RID, "left").select(RID, block.alias("__block"), F.when(F.col("out") == F.col("in"), F.col("out")).alias("__set"), F.coalesce((F.col("out") & ~F.col("in")).cast("int"), F.lit(0)).alias("__turn"))
+    upto = Window.partitionBy("__block").orderBy(RID).rowsBetween(Window.unboundedPreceding, 0)
+    walked = narrow.withColumn("__turns", F.sum("__turn").over(upto))
+    walked = stage(walked.withColumn("__last", F.when(F.col("__set").isNotNull(), F.struct(F.col("__set").alias("open"), F.col("__turns").alias("at")))).drop("__set"), "csv-quotes")
+    is_open, begins = False, []
+    for r in walked.groupBy("__block").agg(F.max_by("__last", F.when(F.col("__last").isNotNull(), F.col(RID))).alias("last"), F.sum("__turn").alias("turns")).orderBy("__block").collect():
+        begins.append((r["__block"], is_open))
+        is_open = (r.last.open if r.last else is_open) ^ bool((r.turns - (r.last.at if r.last else 0)) % 2)
+    if is_open:
+        raise CsvError("a quoted field is not closed")
+    begun = spark.createDataFrame(begins, "__block long, __open boolean")
+    before = Window.partitionBy("__block").orderBy(RID).rowsBetween(Window.unboundedPreceding, -1)
+    met = walked.join(checked_broadcast(begun), "__block").withColumn("__last", F.last("__last", True).over(before))
+    odd = (F.col("__turns") - F.col("__turn") - F.coalesce("__last.at", F.lit(0))) % 2 == 1
+    begin = (F.coalesce("__last.open", "__open") == odd).cast("int")
+    met = stage(met.select(RID, "__block", begin.alias("__begin")), "csv-records")
+    sizes = met.groupBy("__block").agg(F.sum("__begin").alias("__n"))
+    offsets = checked_broadcast(sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before")))
+    numbered = met.join(offsets, "__block").select(RID, (F.col("__before") + F.sum("__begin").over(upto) - 1).alias("__record"))
+    gathered = lines.join(numbered, RID).groupBy("__record").agg(F.array_sort(F.collect_list(F.struct(RID, "value"))).alias("__lines"))
+    return gathered.select(F.col("__record").alias(RID), F.array_join(F.transform("__lines", lambda x: x["value"]), "\n").alias("value"))
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(RID, value) of every line: files by name, splits by their start, lines as they come.
 
@@ -204,19 +223,15 @@ def frame(cells: DataFrame, header: str | Sequence[str] = "read", types: Sequenc
 def read_file(spark: SparkSession, path: str, header: str | Sequence[str] = "read", types: Sequence[str] = (), separator: str = ",", quote: str = '"') -> tuple[DataFrame, list[str]]:
     """One CSV file, or a folder of parts that follow each other by name, in the exact dialect.
 
-    Where no line ends within a quoted field, lines are records and are tokenized anywhere: the first line begins
-    outside of quotes, and each that ends outside lets the next begin so. Else, quoted line ends make the file a
-    single unit of work for one task. Cells are staged, so text is tokenized once.
+    Lines are records and are tokenized anywhere, if none ends within a quoted field: the first line begins outside of
+    quotes, and each that ends outside lets the next begin so. Else, lines are first put together to records. The end
+    of a file ends a line. Cells are staged, so text is tokenized once.
     """
     lines = _numbered_lines(spark, path)
-    open_ended = lines.filter(F.contains("value", F.lit(quote))).select("value").mapInArrow(_is_whole(separator, quote), "whole boolean")
-    schema = f"{RID} long, cells array<string>"
-    if open_ended.isEmpty():
-        cells = lines.mapInArrow(_records_of_lines(separator, quote), schema)
-    else:
-        parts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
-        whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("value"))
-        cells = whole.mapInArrow(_tokenize(separator, quote), schema)
+    ends = lines.filter(F.contains("value", F.lit(quote))).mapInArrow(_open_ends(separator, quote), f"{RID} long, out boolean, in boolean")
+    ends = stage(ends.filter("out OR NOT in"), "csv-ends")
+    whole = lines if ends.filter("out").isEmpty() else _whole_records(lines, ends)
+    cells = whole.mapInArrow(_records_of_lines(separator, quote), f"{RID} long, cells array<string>")
     return frame(stage(cells, "csv-cells"), header, types)
 
 

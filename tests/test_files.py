@@ -90,6 +90,51 @@ def test_lines_and_quoted_line_ends(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_quoted_line_ends_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Records of several lines are put together over ends of splits, blocks and files, and no task gets the whole file."""
+    import random
+
+    from ordina.sources import csv
+
+    monkeypatch.setattr(csv, "BLOCK", 8)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    tokenize = csv._records_of_lines
+
+    def watched(separator, quote):
+        def run(batches, run=tokenize(separator, quote), folder=str(seen)):
+            import uuid
+
+            rows = 0
+            for batch in run(batches):
+                rows += batch.num_rows
+                yield batch
+            open(f"{folder}/{uuid.uuid4().hex}", "w").write(str(rows))
+
+        return run
+
+    monkeypatch.setattr(csv, "_records_of_lines", watched)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    random.seed(5)
+    cell = lambda: random.choice(["", "x", '"y\nz"', '"a""\n""b"', '"\n\n"', '"q"w"e\nr"', 'm"n', '"end\r\n"', '""', "lone\r"])
+    try:
+        for k in range(3):
+            text = "\ufeffa,b,c\n" + "".join(",".join([str(i), cell(), cell()]) + random.choice(["\n", "\r\n"]) for i in range(700)) + '1,2,"' + "long\n" * 40 + '"'
+            path = tmp_path / f"{k}.csv"
+            path.write_text(text, newline="")
+            got, want = Table.read(str(path), spark=spark), Table.parse_csv(text, spark=spark)
+            assert got.column_names == want.column_names and got.to_list() == want.to_list(), k
+        counts = [int(p.read_text()) for p in seen.iterdir()]
+        assert sum(counts) == 3 * 702 and max(counts) < 702
+        (tmp_path / "open.csv").write_text('a\n1\n"x\ny\n')
+        with pytest.raises(CsvError):
+            Table.read(str(tmp_path / "open.csv"), spark=spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_read_sniffs_and_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("PK\x03\x04,b\n1,2\n")
     assert Table.read(str(tmp_path / "a.csv"), spark=spark).to_list() == [(1, 2)]
