@@ -674,8 +674,11 @@ class Table:
         return Table(made, ["truth", "guess", "count"], (Key("__t"), Key("__g")))
 
     def to_numpy(self):
-        """All numeric columns as a matrix, nulls as NaN."""
-        return self.columns(self._numeric_names()).df.toPandas().to_numpy(dtype=float, na_value=float("nan"))
+        """All numeric columns as a matrix on the driver, nulls as NaN; ``Column.map_numpy`` keeps arrays on the executors."""
+        import numpy as np
+
+        found = self.columns(self._numeric_names())
+        return np.array([np.asarray(c.cast("double")) for c in found.df.toArrow().columns], float).reshape(found.column_count, -1).T
 
 
 def _xlsx_value(x: Any, kind: str | None) -> Any:
@@ -703,13 +706,33 @@ class Column:
 
     @staticmethod
     def from_numpy(name: str, values: Any, spark: SparkSession | None = None) -> Column:
-        """Reals of an array; NaN becomes null."""
-        return Column.from_list(name, REAL, [None if x != x else float(x) for x in values], spark)
+        """Reals of an array on the driver; NaN becomes null."""
+        import numpy as np
+        import pyarrow as pa
+
+        values = pa.array(np.asarray(values, float), from_pandas=True)
+        df = (spark or session()).createDataFrame(pa.table({name: values, RID: pa.array(np.arange(len(values)))}))
+        return Table(df, [name], numbered=True).column(name)
 
     def to_numpy(self):
-        """Values as reals, null as NaN."""
+        """Values as reals on the driver, null as NaN."""
         return self.to_table().to_numpy()[:, 0]
 
+    def map_numpy(self, name: str, f: Callable[[Any], Any]) -> Column:
+        """f of the values as arrays of reals (null as NaN), each of a batch of rows, on the executors; NaN of its
+        results, which have to be as many, becomes null. For columns of any size, as no array goes to the driver."""
+        if not self.is_numeric:
+            raise TypeError(f"column '{self.name}' of type {self.kind} is no array of numbers")
+
+        def mapped(x):
+            import numpy as np
+            import pyarrow as pa
+
+            return pa.array(np.asarray(f(x.to_numpy(zero_copy_only=False)), float), from_pandas=True)
+
+        mapped = F.arrow_udf(mapped, "double", F.ArrowUDFType.SCALAR)
+        return Column(self.table, name, mapped(self.expr.cast("double")))
+
     @staticmethod
     def index(length: int, spark: SparkSession | None = None) -> Column:
         return Table.int_sequence("index", 0, length, spark=spark).column("index")

@@ -340,6 +340,32 @@ def test_rolling_peers_and_keys_without_place(spark):
 
 
 
+def test_numpy_without_lists_on_the_driver(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    from ordina.catalogue import QUERIES
+
+    tracemalloc.start()
+    c = Column.from_numpy("v", np.where(np.arange(300_000) % 3 == 0, np.nan, np.arange(300_000.0)), spark)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 300_000  # a list of rows takes more
+    back = c.to_numpy()
+    assert back.shape == (300_000,) and np.isnan(back[::3]).all() and (back[1::3] == np.arange(300_000.0)[1::3]).all()
+    assert c.null_count() == 100_000
+    assert Column.from_list("i", INT, [1, N, 3], spark).map_numpy("r", lambda x: x * 2 - 2).to_list() == [0, N, 4]
+    assert Table.from_lists({"a": (INT, [1, N]), "t": (TEXT, ["x", "y"]), "b": (REAL, [0.5, 2])}, spark).to_numpy()[0].tolist() == [1, 0.5]
+    assert Table.from_lists({"a": (INT, [])}, spark).to_numpy().shape == (0, 1)
+    with pytest.raises(TypeError):
+        Column.from_list("s", TEXT, ["x"], spark).map_numpy("r", abs)
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, lambda self: pytest.fail("the column went to the driver"))
+    QUERIES["numpy_and_back"](spark, "/root/testdata/sf0.001")
+
+
 def test_reshape(spark):
     rows = Table.from_lists({"n": (TEXT, ["a", N, "c", "d"]), "tags": (TEXT, ["x,y", "z", N, "p;,q"])}, spark)
     assert rows.ungroup_splitting_on("tags", ",;").to_list() == [("a", "x"), ("a", "y"), (N, "z"), ("d", "p"), ("d", ""), ("d", "q")]
