@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +80,8 @@ def kde2(df: DataFrame, x: str, y: str, points: int = 50, bins: int = 100) -> li
     return out
 
 
-def series(df: DataFrame, names: Sequence[str], order: Sequence, most: int) -> DataFrame:
-    """At most about ``most`` rows of the columns in row order: all of them, or a seeded sample for drawing."""
-    total = df.count()
-    rows = df if total <= most else df.sample(most / total, seed=7)
-    return rows.orderBy(*order).select(*map(quoted, names))
+def series(df: DataFrame, most: int | None = None) -> DataFrame:
+    """All rows, or with ``most`` a seeded sample of about so many where there are more."""
+    if most is None or (total := df.count()) <= most:
+        return df
+    return df.sample(most / total, seed=7)

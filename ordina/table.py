@@ -644,9 +644,14 @@ class Table:
         made = charts.kde2(self._df, x, y, points, bins)
         return Table.from_lists({n: (REAL, [r[i] for r in made]) for i, n in enumerate(("x", "y", "density"))}, self._df.sparkSession)
 
-    def series(self, names: Sequence[str], most: int = 10_000) -> list[tuple]:
-        """Rows of the columns for a line, scatter or area chart: all, or a sample of about ``most``."""
-        return [tuple(r) for r in charts.series(self._df, [self._check(n) for n in names], sorts(self._order), most).collect()]
+    def series_table(self, names: Sequence[str], most: int | None = None) -> Table:
+        """Rows of the columns for a line, scatter or area chart: all, or with ``most`` a sample of about so many."""
+        found = self.columns(names)
+        return found._with(charts.series(found._df, most), fewer=most is not None)
+
+    def series(self, names: Sequence[str], most: int | None = None) -> list[tuple]:
+        """``series_table`` on the driver, in row order; an error where there are more than MOST_LOCAL_ROWS."""
+        return self.series_table(names, most).to_list()
 
     # Learning.
 

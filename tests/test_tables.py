@@ -366,6 +366,18 @@ def test_numpy_without_lists_on_the_driver(spark, monkeypatch):
     QUERIES["numpy_and_back"](spark, "/root/testdata/sf0.001")
 
 
+def test_series_are_whole(spark, tmp_path):
+    from ordina.catalogue import QUERIES
+
+    spark.range(30_000).selectExpr("id AS s_suppkey", "id * 0.5D AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    made = QUERIES["chart_series"](spark, str(tmp_path))
+    assert made.count() == 30_000 and made.selectExpr("sum(s_suppkey)", "sum(s_acctbal)").first() == (449985000, 224992500)
+    t = Table.read_parquet(str(tmp_path / "supplier.parquet"), spark).sort_descending("s_suppkey")
+    assert t.series(["s_suppkey"])[:2] == [(29_999,), (29_998,)] and len(t.series(["s_suppkey"])) == 30_000
+    some = [r[0] for r in t.series(["s_suppkey"], 100)]
+    assert 50 < len(some) < 200 and some == sorted(some, reverse=True)
+
+
 def test_reshape(spark):
     rows = Table.from_lists({"n": (TEXT, ["a", N, "c", "d"]), "tags": (TEXT, ["x,y", "z", N, "p;,q"])}, spark)
     assert rows.ungroup_splitting_on("tags", ",;").to_list() == [("a", "x"), ("a", "y"), (N, "z"), ("d", "p"), ("d", ""), ("d", "q")]
