@@ -10,16 +10,28 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def head(spark: SparkSession, path: str, size: int) -> bytes:
-    """The first bytes of a file, or of a folder's first file; nothing else is read."""
+def names(spark: SparkSession, path: str) -> list[str]:
+    """A file itself, or a folder's files by name, without hidden ones."""
     where, system = _at(spark, path)
     if not system.exists(where):
         raise FileNotFoundError(path)
-    if system.getFileStatus(where).isDirectory():
-        names = sorted(s.getPath().getName() for s in system.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._")
-        if not names:
-            return b""
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, names[0])
+    if not system.getFileStatus(where).isDirectory():
+        return [path]
+    return sorted(s.getPath().toString() for s in system.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._")
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    where, system = _at(spark, old)
+    if not system.rename(where, _at(spark, new)[0]):
+        raise OSError(f"could not rename {old}")
+
+
+def head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, or of a folder's first file; nothing else is read."""
+    found = names(spark, path)
+    if not found:
+        return b""
+    where, system = _at(spark, found[0])
     stream, out = system.open(where), bytearray()
     try:
         while len(out) < size and (byte := stream.read()) >= 0:

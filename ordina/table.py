@@ -22,7 +22,7 @@ from .operators.ranks import quantiles
 from .plans.order import RID, ROW_ORDER, Key, assign, dense, from_sorted, sorts, stage
 from .schema import INT, LIST, REAL, TEXT, TIME, Field, Schema, kind_of, spark_type
 from .session import session
-from .sources import csv, files, xlsx
+from .sources import csv, feather, files, xlsx
 
 ASCENDING, DESCENDING = "ascending", "descending"
 NULLS_BEFORE, NULLS_AFTER = "before", "after"
@@ -103,14 +103,8 @@ class Table:
 
     @staticmethod
     def read_feather(path: str, spark: SparkSession | None = None) -> Table:
-        """One Feather file, by way of the driver."""
-        import pyarrow as pa
-        from pyarrow import feather
-
-        spark = spark or session()
-        found = feather.read_table(pa.BufferReader(files.content(spark, path)))
-        found = found.append_column(RID, pa.array(range(found.num_rows), pa.int64()))
-        df = spark.createDataFrame(found)
+        """One Feather file, or a folder of parts of one table; a file is one task's work."""
+        df = feather.read(spark or session(), path)
         names = [c for c in df.columns if c != RID]
         return Table(df.select(*_widened(df.drop(RID)), RID), names, numbered=True)
 
@@ -301,6 +295,7 @@ class Table:
         files.store(self._df.sparkSession, path, xlsx.workbook(self._names if header else None, self.to_list()))
 
     def write_feather(self, path: str) -> None:
+        """One file, by way of the driver."""
         import io
 
         from pyarrow import feather
@@ -309,6 +304,10 @@ class Table:
         feather.write_feather(self.df.toArrow(), out)
         files.store(self._df.sparkSession, path, out.getvalue())
 
+    def write_feather_parts(self, path: str) -> None:
+        """A folder of Feather files in row order, written by the executors: for tables that no driver should hold."""
+        feather.write_parts(self.df, path)
+
     def write_parquet(self, path: str) -> None:
         """A folder of part files in row order."""
         self.df.write.parquet(path)

@@ -135,6 +135,38 @@ def test_quoted_line_ends_in_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_feather_parts(spark, table, tmp_path, monkeypatch):
+    from pyarrow import feather
+    from pyspark.sql import DataFrame
+
+    from ordina.catalogue import QUERIES
+    from ordina.sources import feather as parts
+
+    path = str(tmp_path / "x")
+    table.write_feather_parts(path)
+    assert Table.read(path, spark=spark).to_list() == table.to_list() and Table.read(path, spark=spark).kinds == table.kinds
+    nothing = table.filter(lambda r: r["r"] > 100)
+    nothing.write_feather_parts(path + "0")
+    back = Table.read(path + "0", spark=spark)
+    assert back.to_list() == [] and back.kinds == table.kinds
+    monkeypatch.setattr(parts, "PART_BYTES", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        many = Table.from_df(spark.range(0, 5000, 1, 3).selectExpr("5000 - id AS k", "repeat('\u00e4\n', CAST(id % 7 AS INT)) AS s", "IF(id % 3 = 0, NULL, id / 7) AS v", "array(id, NULL) AS l"), ["k"])
+        many.write_feather_parts(path + "1")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    written = sorted(p for p in (tmp_path / "x1").iterdir() if p.suffix == ".feather")
+    assert len(written) > 40 and sum(feather.read_table(p).num_rows for p in written) == 5000
+    back = Table.read(path + "1", spark=spark)
+    assert back.to_list() == many.to_list() and back.sort("k").take(2).to_columns()["k"] == [1, 2]
+    (tmp_path / "a.csv").write_text("ARROW1,b\n1,2\n")
+    assert Table.read(str(tmp_path / "a.csv"), spark=spark).to_list() == [(1, 2)]
+    arrow = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: made if (made := arrow(self)).num_rows == 0 else pytest.fail("rows went to the driver"))
+    QUERIES["feather_file"](spark, "/root/testdata/sf0.001")
+
+
 def test_read_sniffs_and_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("PK\x03\x04,b\n1,2\n")
     assert Table.read(str(tmp_path / "a.csv"), spark=spark).to_list() == [(1, 2)]
