@@ -328,6 +328,20 @@ def test_rolling_by_long_intervals_reads_no_row_per_window(spark):
     assert time.perf_counter() - began < 30
 
 
+def test_rolling_by_many_rows_of_equal_time(spark):
+    """30,000 rows at three hours: later rows of equal time are not in a window, and no window is added up by itself."""
+    import time
+
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id % 3 AS INT)) AS hour", "CAST(1 AS DOUBLE) AS v")
+    began = time.perf_counter()
+    t = Table.from_df(df, ["k"])
+    made = t.rolling("hour", timedelta(hours=2), "v", Aggregate.SUM).to_columns()["v_sum"]
+    third = n // 3
+    assert made == [*range(1, third + 1), *range(third + 1, 2 * third + 1), *range(third + 1, 2 * third + 1)]
+    assert time.perf_counter() - began < 30
+
+
 def test_rolling_peers_and_keys_without_place(spark):
     keys = [1.0, 1.0, N, 2.0, math.nan, math.inf, 2.0, -math.inf]
     rows = Table.from_lists({"k": (REAL, keys), "v": (INT, [1, 2, 4, 8, 16, 32, 64, 128])}, spark)
