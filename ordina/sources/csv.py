@@ -169,10 +169,10 @@ def _whole_records(lines: DataFrame, ends: DataFrame) -> DataFrame:
 
     A line sets, turns or keeps whether a quoted field is open. What blocks of lines do is put together on the driver,
     a row a block, so each block knows how it begins and all of them are walked in parallel; then lines meet by their
-    record's number.
+    record's number. Numbers pack well in files, so Spark would broadcast far more rows than it takes them for.
     """
     spark, block = lines.sparkSession, F.expr(f"{RID} div {BLOCK}")
-    narrow = lines.select(RID).join(ends, RID, "left").select(RID, block.alias("__block"), F.when(F.col("out") == F.col("in"), F.col("out")).alias("__set"), F.coalesce((F.col("out") & ~F.col("in")).cast("int"), F.lit(0)).alias("__turn"))
+    narrow = lines.select(RID).join(ends.hint("merge"), RID, "left").select(RID, block.alias("__block"), F.when(F.col("out") == F.col("in"), F.col("out")).alias("__set"), F.coalesce((F.col("out") & ~F.col("in")).cast("int"), F.lit(0)).alias("__turn"))
     upto = Window.partitionBy("__block").orderBy(RID).rowsBetween(Window.unboundedPreceding, 0)
     walked = narrow.withColumn("__turns", F.sum("__turn").over(upto))
     walked = stage(walked.withColumn("__last", F.when(F.col("__set").isNotNull(), F.struct(F.col("__set").alias("open"), F.col("__turns").alias("at")))).drop("__set"), "csv-quotes")
@@ -191,7 +191,7 @@ def _whole_records(lines: DataFrame, ends: DataFrame) -> DataFrame:
     sizes = met.groupBy("__block").agg(F.sum("__begin").alias("__n"))
     offsets = checked_broadcast(sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before")))
     numbered = met.join(offsets, "__block").select(RID, (F.col("__before") + F.sum("__begin").over(upto) - 1).alias("__record"))
-    gathered = lines.join(numbered, RID).groupBy("__record").agg(F.array_sort(F.collect_list(F.struct(RID, "value"))).alias("__lines"))
+    gathered = lines.join(numbered.hint("merge"), RID).groupBy("__record").agg(F.array_sort(F.collect_list(F.struct(RID, "value"))).alias("__lines"))
     return gathered.select(F.col("__record").alias(RID), F.array_join(F.transform("__lines", lambda x: x["value"]), "\n").alias("value"))
 
 
